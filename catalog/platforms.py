@@ -148,7 +148,7 @@ def e22(spark, sf):
     return df.filter(F.col("html").isNotNull())
 
 
-@query("e23_wordpress_header_fields", f"{_WP_ALL} SELECT page_id, logo, menu, contacts, search FROM wp_header")
+@query("e23_wordpress_header_fields", f"{_WP_ALL} SELECT page_id, contacts, logo, menu, search FROM wp_header")
 def e23(spark, sf):
     df = site(spark, sf).withColumn("part", wordpress_fragment("header")).filter(F.col("part").isNotNull())
     return df.select("page_id", *[c.alias(n) for n, c in fields.wordpress_header(F.col("part")).items()])
@@ -160,7 +160,7 @@ def e24(spark, sf):
     return df.filter(F.col("html").isNotNull())
 
 
-@query("e25_wordpress_footer_fields", f"{_WP_ALL} SELECT page_id, widgets, copyright, social, nav_links FROM wp_footer")
+@query("e25_wordpress_footer_fields", f"{_WP_ALL} SELECT page_id, copyright, nav_links, social, widgets FROM wp_footer")
 def e25(spark, sf):
     df = site(spark, sf).withColumn("part", wordpress_fragment("footer")).filter(F.col("part").isNotNull())
     return df.select("page_id", *[c.alias(n) for n, c in fields.wordpress_footer(F.col("part")).items()])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from llm import exact_dedup
+from llm import exact_dedup, simhash_dedup
 from llm.common import table
 from llm.registry import query
 
@@ -19,3 +19,9 @@ def op8(spark, sf):
     index = exact_dedup.DigestIndex.temporary(spark)
     found = exact_dedup.ingest(index, table(spark, sf, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op4_simhash_near_dedup")
+def op4(spark, sf):
+    found = simhash_dedup.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

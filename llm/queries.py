@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import exact_dedup, simhash_dedup
+from llm import byte_bpe, exact_dedup, simhash_dedup
 from llm.common import table
 from llm.registry import query
 
@@ -25,3 +26,8 @@ def op8(spark, sf):
 def op4(spark, sf):
     found = simhash_dedup.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op5_byte_bpe")
+def op5(spark, sf):
+    return byte_bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

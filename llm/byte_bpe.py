@@ -29,6 +29,7 @@ _UNKNOWN = "⁇unknown⁇"  # outside of the byte alphabet, so no text holds it
 _CACHE = 200_000
 _LONG = 64
 _BLOCK = 1 << 16
+_FLUSH = 1 << 22
 
 
 def byte_alphabet() -> list[str]:
@@ -131,41 +132,20 @@ def _codec(model: bytes, pattern: str) -> Codec:
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, ids (little-endian unsigned 32-bit integers), decoded (bytes of the text from the ids)."""
-    return _mapped(docs, ranks_path, pattern, id_col, text_col, "ids binary, decoded binary", lambda ids, back: (b"".join(ids), b"".join(back)))
-
-
-def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; ids and bytes are hashed block by block."""
-
-    def summed(ids, back):
-        n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
-        for block, text in zip(ids, back):
-            n += len(block) // 4
-            of_ids.update(block)
-            of_text.update(text)
-        return n, of_ids.hexdigest(), of_text.hexdigest()
-
-    return _mapped(docs, ranks_path, pattern, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", summed)
-
-
-def _mapped(docs, ranks_path, pattern, id_col, text_col, schema, finish) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     model = docs.sparkSession.sparkContext.broadcast(serialise(read_ranks(ranks_path)))
-    types = [{"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
-    names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches):
         codec = _codec(model.value, pattern)
         for batch in batches:
-            made, size, start = [], 0, 0
+            ids, size, start = [], 0, 0
             for i, text in enumerate(texts_of(batch)):
-                blocks = list(codec.encode(text))
-                made.append(finish(blocks, (codec.decode(b) for b in blocks)))
+                ids.append(b"".join(codec.encode(text)))
                 size += len(text)
-                if size > 1 << 22 or i + 1 == batch.num_rows:
-                    columns = [pa.array(c, t) for c, t in zip(zip(*made), types)]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(made)), *columns], names=names)
-                    made, size, start = [], 0, i + 1
+                if size > _FLUSH or i + 1 == batch.num_rows:
+                    columns = [pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(ids)), *columns], names=["doc_id", "ids", "decoded"])
+                    ids, size, start = [], 0, i + 1
 
-    return rows.mapInArrow(run, f"doc_id {kind}, {schema}")
+    return rows.mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, exact_dedup, simhash_dedup
+from llm import byte_bpe, exact_dedup, secret_scan, simhash_dedup
 from llm.common import table
 from llm.registry import query
 
@@ -30,4 +30,23 @@ def op4(spark, sf):
 
 @query("op5_byte_bpe")
 def op5(spark, sf):
-    return byte_bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = byte_bpe.encoded(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id",
+        F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def _joined(spans):
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+@query("op7_secret_scan")
+def op7(spark, sf):
+    found = secret_scan.scan(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

@@ -1,5 +1,3 @@
-import hashlib
-
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -45,13 +43,10 @@ def test_every_token_alone():
 def test_table(spark):
     texts = [(1, "one two"), (1, "one two"), (2, None), (3, ""), (None, "Straße " * 50_000)]
     rows = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS n_tokens", "2 AS ids")
-    got = B.digests(rows, RANKS, P.PATTERN).collect()
+    got = B.encoded(rows, RANKS, P.PATTERN).collect()
     assert len(got) == 5
     want = {i: REFERENCE.encode_ordinary(t or "") for i, t in texts}
     for r in got:
-        assert r.n_tokens == len(want[r.doc_id])
-        assert r.ids_sha256 == hashlib.sha256(np.array(want[r.doc_id], "<u4").tobytes()).hexdigest()
-        assert r.decoded_sha256 == hashlib.sha256((dict(texts)[r.doc_id] or "").encode()).hexdigest()
-    whole = B.encoded(rows, RANKS, P.PATTERN).where("doc_id = 1").first()
-    assert bytes(whole.decoded) == b"one two"
-    assert B.digests(rows.limit(0), RANKS, P.PATTERN).count() == 0
+        assert np.frombuffer(r.ids, "<u4").tolist() == want[r.doc_id]
+        assert bytes(r.decoded).decode() == (dict(texts)[r.doc_id] or "")
+    assert B.encoded(rows.limit(0), RANKS, P.PATTERN).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, exact_dedup, secret_scan, simhash_dedup
+from llm import byte_bpe, exact_dedup, packing, quality_cnn, secret_scan, simhash_dedup
 from llm.common import table
 from llm.registry import query
 
@@ -50,3 +50,14 @@ def op7(spark, sf):
     base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
     counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+@query("op9_quality_classifier")
+def op9(spark, sf):
+    return quality_cnn.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op10_packing")
+def op10(spark, sf):
+    found = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, exact_dedup, packing, quality_cnn, secret_scan, simhash_dedup
+from llm import byte_bpe, exact_dedup, neural_lm, packing, quality_cnn, secret_scan, simhash_dedup
 from llm.common import table
 from llm.registry import query
 
@@ -61,3 +61,8 @@ def op9(spark, sf):
 def op10(spark, sf):
     found = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op2_lm_scoring")
+def op2(spark, sf):
+    return neural_lm.scored(table(spark, sf, "documents"))

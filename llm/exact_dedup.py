@@ -88,3 +88,15 @@ def ingest(index: DigestIndex, docs: DataFrame, id_col: str = "doc_id", text_col
     found = with_hot(rows, known, "digest", "_rows", total)
     kept = F.coalesce(F.col("_fresh"), F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
+
+
+def deduplicated(index: DigestIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that hold a text new to the index: one row of each text, of its largest id."""
+    rows = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    groups = stored(groups_of(digests(docs, id_col, text_col)), "digest-groups")
+    fresh = stored(index.unseen(groups), "digest-fresh")
+    index.append(fresh)
+    stays = fresh.select(F.col("digest").alias("_of"), F.col("keep_id").alias("_stays"))
+    same = F.col("_digest").eqNullSafe(F.col("_of")) & F.col(id_col).eqNullSafe(F.col("_stays"))
+    found = rows.join(stays.hint("merge"), same, "left_semi")
+    return found.dropDuplicates(["_digest"]).drop("_digest")

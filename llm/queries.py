@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, exact_dedup, neural_lm, packing, quality_cnn, secret_scan, simhash_dedup
+from llm import byte_bpe, exact_dedup, line_dedup, neural_lm, packing, quality_cnn, secret_scan, simhash_dedup
 from llm.common import table
 from llm.registry import query
 
@@ -66,3 +66,26 @@ def op10(spark, sf):
 @query("op2_lm_scoring")
 def op2(spark, sf):
     return neural_lm.scored(table(spark, sf, "documents"))
+
+
+@query(
+    "op1_line_dedup",
+    f"""WITH cut AS (
+      SELECT page_id, lower(coalesce(regexp_extract(url, '{line_dedup.HOST}', 1), '')) AS host,
+        list_filter(list_transform(string_split(coalesce(regexp_replace(html, '{line_dedup.BREAKS}', chr(10), 'g'), ''), chr(10)),
+          lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
+      FROM pages
+    ), counts AS (
+      SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM cut) GROUP BY host, line
+    ), hosts AS (SELECT host, count(*) AS pages FROM cut GROUP BY host
+    ), dropped AS (
+      SELECT host, list(line) AS common FROM counts JOIN hosts USING (host) WHERE n >= 3 AND n / pages > 0.3 GROUP BY host
+    )
+    SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(stays) AS n_dropped, array_to_string(stays, chr(10)) AS text
+    FROM (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(common, x), false)) AS stays
+      FROM cut LEFT JOIN dropped USING (host))""",
+)
+def op1(spark, sf):
+    pages = table(spark, sf, "pages")
+    text = line_dedup.text_of_html(F.col("html"))
+    return line_dedup.dedup_lines(pages.select("page_id", line_dedup.host_of(F.col("url")).alias("host"), text.alias("text")))

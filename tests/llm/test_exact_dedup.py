@@ -19,3 +19,10 @@ def test_empty_table_and_repeated_rows(spark):
     assert E.ingest(index, spark.createDataFrame([], SCHEMA)).count() == 0
     rows = spark.createDataFrame([(1, "x" * 100_000)] * 3, SCHEMA)
     assert {(r.keep_id, r.group_size, r.kept) for r in E.ingest(index, rows).collect()} == {(1, 3, True)}
+
+
+def test_one_whole_row_of_each_text_stays(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, None), (4, ""), (None, "z")], SCHEMA).selectExpr("*", "doc_id AS other")
+    index = E.DigestIndex.temporary(spark, buckets=2)
+    assert sorted((r.doc_id or 0, r.text, r.other) for r in E.deduplicated(index, rows).collect()) == [(0, "z", None), (2, "a", 2), (4, "", 4)]
+    assert E.deduplicated(index, rows).count() == 0

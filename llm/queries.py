@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, exact_dedup, line_dedup, neural_lm, packing, quality_cnn, secret_scan, simhash_dedup
+from llm import byte_bpe, exact_dedup, line_dedup, neural_lm, packing, quality_cnn, secret_scan, simhash_dedup, vector_graph
 from llm.common import table
 from llm.registry import query
 
@@ -44,11 +44,15 @@ def _joined(spans):
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def _number(kind):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 @query("op7_secret_scan")
 def op7(spark, sf):
     found = secret_scan.scan(table(spark, sf, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+    counts = [_number(kind) for kind in secret_scan.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
@@ -89,3 +93,8 @@ def op1(spark, sf):
     pages = table(spark, sf, "pages")
     text = line_dedup.text_of_html(F.col("html"))
     return line_dedup.dedup_lines(pages.select("page_id", line_dedup.host_of(F.col("url")).alias("host"), text.alias("text")))
+
+
+@query("op3_vector_graph")
+def op3(spark, sf):
+    return vector_graph.near_duplicates(table(spark, sf, "embeddings"))

@@ -12,49 +12,97 @@ text columns are read, so further columns cannot clash.
 from __future__ import annotations
 
 import os
+from itertools import islice
 from math import erf, sqrt
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from llm.common import stored, texts_of
 
-_CACHE = 400_000
+_CACHE = 800_000
+_CLOSING = ".,!?$%&*#;:"
+_LATIN = "\u0250"  # letters and digits below are such in every edition of the character tables
 _LONG = 64
 _BUCKETS = 256
 _FLUSH = 1 << 22
+_SLICE = 1 << 24
 
 
 class Words:
-    """Ids of a text by a tokenizer that never joins across ASCII white space.
+    """Ids of texts by a tokenizer that lower-cases, never joins across ASCII white space, and splits letters from marks.
 
-    Each stretch between white space is encoded by itself, and the ids of short ones are kept, a bounded number.
+    So each word between white space is encoded by itself, once for many texts, a word's closing ASCII marks apart from the rest, and texts in
+    composed form can be lower-cased first. The ids of short words are kept, a bounded number. Words of letters are
+    encoded many at a time; the vocabulary's word-end suffix tells where one ends.
     """
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, suffix: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian integers of dtype."""
-        known, words = self.known, text.encode().split()  # bytes: ASCII white space alone
-        fresh = list({w for w in words if w not in known})
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.closes = np.zeros(size, bool)
+        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded as one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = (np.flatnonzero(self.closes[ids]) + 1) * ids.itemsize
+        if len(ends) != len(words):  # some letter lower-cases to more than letters
+            return self._raw(words)
+        blob, ends = ids.tobytes(), ends.tolist()
+        return [blob[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+    def _fresh(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not kept."""
+        letters = [w for w in words if w.isalpha() and len(w) <= _LONG]
         found = {}
-        if fresh:
-            made = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            found = {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(fresh, made)}
-        out = b"".join([known[w] if w in known else found[w] for w in words]) if found else b"".join(map(known.__getitem__, words))
+        for i in range(0, len(letters), 256):
+            found.update(zip(letters[i : i + 256], self._letters(letters[i : i + 256])))
+        others = [w for w in words if w not in found]
+        found.update(zip(others, self._raw(others) if others else []))
+        return found
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word."""
+        known = self.known
+        stems = [s if (s := w.rstrip(_CLOSING)) and s[-1] < _LATIN and s[-1].isalnum() else w for w in words]
+        marks = [w[len(s) :] for w, s in zip(words, stems)]
+        found = self._fresh({p for p in stems if p not in known} | {p for p in set(marks) if p not in known})
+        out = [(known[s] if s in known else found[s]) + (known[m] if m in known else found[m]) for s, m in zip(stems, marks)]
         if len(known) + len(found) > _CACHE:
             known.clear()
-        if len(found) <= _CACHE:
-            known.update((w, ids) for w, ids in found.items() if len(w) <= _LONG)
+            known[""] = b""
+        known.update((w, ids) for w, ids in islice(found.items(), _CACHE) if len(w) <= _LONG)
         return out
 
+    def encode(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, ``end`` after each text's, and where each text's stop."""
+        plain = pa.array(texts, pa.large_string())
+        lower = pc.ascii_lower(plain)
+        fits = ["<" not in t and (t.isascii() or (is_normalized("NFC", t) and is_normalized("NFC", x))) for t, x in zip(texts, lower.to_pylist())]
+        words = pc.ascii_split_whitespace(pc.if_else(pa.array(fits, pa.bool_()), lower, plain))
+        stops = words.offsets.to_numpy()[1:].astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        ids = [*self._ids(coded.dictionary.to_pylist()), end]
+        lengths = np.array([len(x) for x in ids]) // self.dtype.itemsize
+        pool, first = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(lengths) - lengths
+        codes = np.insert(coded.indices.to_numpy(), stops, len(ids) - 1)
+        counts = lengths[codes]
+        ends = np.cumsum(counts)
+        taken = np.arange(ends[-1]) + np.repeat(first[codes] - (ends - counts), counts)
+        return pool[taken], ends[stops + np.arange(len(stops))]
+
 
 def projection(vocabulary: int, dims: int, seed: int = 0) -> np.ndarray:
     """(vocabulary, _BUCKETS) is never built: bucket and sign of each id, and the projection of each bucket."""
@@ -110,19 +158,24 @@ def tokenised(docs: DataFrame, tokenizer_json: str, end_id: int = 1, dims: int =
         end = np.array([end_id], words.dtype).tobytes()
         project = projection(words.tokenizer.get_vocab_size(), dims)
         for batch in batches:
-            ids, points, size, start = [], [], 0, 0
+            texts, size, start = [], 0, 0
             for i, text in enumerate(texts_of(batch)):
-                found = words.encode(text)
-                points.append(cells(np.frombuffer(found, words.dtype), project, bits))
-                ids.append(found + end)
+                texts.append(text)
                 size += len(text)
-                if size > _FLUSH or i + 1 == batch.num_rows:
-                    n = pa.array([len(x) // words.dtype.itemsize for x in ids], pa.int64())
-                    keys = pa.array(hilbert_keys(np.array(points), bits))
+                if size > _SLICE or i + 1 == batch.num_rows:
+                    ids, stops = words.encode(texts, end)
+                    parts = np.split(ids, stops[:-1])
+                    keys = hilbert_keys(np.array([cells(p[:-1], project, bits) for p in parts]), bits)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(start, len(ids)), keys, n, pa.array(ids, pa.binary())], names=["doc_id", "key", "n", "ids"]
+                        [
+                            batch.column("doc_id").slice(start, len(texts)),
+                            pa.array(keys),
+                            pa.array(np.diff(stops, prepend=0)),
+                            pa.array([p.tobytes() for p in parts], pa.binary()),
+                        ],
+                        names=["doc_id", "key", "n", "ids"],
                     )
-                    ids, points, size, start = [], [], 0, i + 1
+                    texts, size, start = [], 0, i + 1
 
     return rows.mapInArrow(run, "doc_id long, key long, n long, ids binary")
 

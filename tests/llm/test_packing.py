@@ -13,9 +13,12 @@ WORDS = K.Words(open(PATH, encoding="utf-8").read())
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=8), st.sampled_from([" ", "\n", "\x1c", "́", " ", "Σ", "it's", "<|endoftext|>", "ǅ"])), max_size=12).map("".join))
+@given(st.lists(st.one_of(st.text(max_size=8), st.sampled_from([" ", "\n", "\x1c", "́", " ", "Σ", "it's", "It's.", "!!", "a!?", ".", "word,", "$$$", 'a".', "(b).", "<|endoftext|>", "<|", "ǅ", "H\u0331", "İ", "éÉ", "日本"])), max_size=12).map("".join))
 def test_ids_are_the_tokenizers(text):
-    assert np.frombuffer(WORDS.encode(text), WORDS.dtype).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+    want = PLAIN.encode(text, add_special_tokens=False).ids
+    ids, stops = WORDS.encode([text, "", text], np.array([1], WORDS.dtype).tobytes())
+    assert ids.tolist() == [*want, 1, 1, *want, 1]
+    assert stops.tolist() == [len(want) + 1, len(want) + 2, 2 * len(want) + 3]
 
 
 def test_hilbert_curve_visits_neighbours_in_turn():

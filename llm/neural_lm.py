@@ -2,7 +2,7 @@
 
 Tokens are words of a text, lower-cased A-Z and split at ASCII white space, then one end token. Counts of all
 training tokens come from one distributed aggregation. The network predicts units: the most frequent words, and classes of all other words
-by their last bytes. Within a class a word has its smoothed share of the class, with half a count for words never
+by their last letters. Within a class a word has its smoothed share of the class, with half a count for words never
 seen, so the probabilities of all tokens sum to one.
 
 A unit's score is the product of its output vector with the sum of the context's vectors, each scaled by its position, plus a bias.
@@ -24,21 +24,36 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from llm.common import bytes_of, crc_mod, stored
+from llm.common import crc_mod, stored
 
-END = b""  # no word is empty
+END = ""  # no word is empty
 _FLUSH = 300_000
+_SLICE = 1 << 24
 _BATCH = 1024
 _BLOCK = 512
 _SUFFIX = 3
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Tokens of a text: its words, then the end."""
-    return [*text.lower().split(), END]
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts end to end, and where each text's stop; a null text has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    stops, flat = lists.offsets.to_numpy()[1:].astype(np.int64), lists.flatten()
+    real = pc.not_equal(flat, "")
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return flat.filter(real), before[stops]
+
+
+def slices(batch: pa.RecordBatch, size: int = _SLICE):
+    """Parts of a batch with about ``size`` bytes of text each, one row at least."""
+    lengths = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def learnable(id_col: str = "doc_id", parts: int = 5, held: int = 1) -> Column:
@@ -49,34 +64,30 @@ def learnable(id_col: str = "doc_id", parts: int = 5, held: int = 1) -> Column:
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, c) of all tokens, summed in each task before the shuffle."""
 
-    def rows(counter):
-        return pa.RecordBatch.from_arrays([pa.array(counter.keys(), pa.binary()), pa.array(counter.values(), pa.int64())], names=["word", "c"])
-
     def run(batches):
-        counter = Counter()
+        texts = 0
         for batch in batches:
-            for text in bytes_of(batch, text_col):
-                counter.update(words_of(text))
-                if len(counter) > _FLUSH:
-                    yield rows(counter)
-                    counter = Counter()
-        if counter:
-            yield rows(counter)
+            texts += batch.num_rows
+            for part in slices(batch):
+                found = pc.value_counts(split_words(part.column("text"))[0])
+                yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], names=["word", "c"])
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([texts], pa.int64())], names=["word", "c"])
 
-    return docs.select(text_col).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class Units:
-    """The network's outputs: the first ``len(words)`` are words, then classes by last bytes, the last one for all else."""
+    """The network's outputs: the first ``len(words)`` are words, then classes by last letters, the last one for all else."""
 
-    words: dict[bytes, int]
-    classes: dict[bytes, int]
+    words: dict[str, int]
+    classes: dict[str, int]
     size: int
     totals: np.ndarray = field(default_factory=lambda: np.zeros(0))  # count of a word unit, smoothed count of a class
 
     @classmethod
-    def choose(cls, head: list[tuple[bytes, int]], n_words: int, n_classes: int) -> Units:
+    def choose(cls, head: list[tuple[str, int]], n_words: int, n_classes: int) -> Units:
         words = {w: i for i, (w, _) in enumerate(head[:n_words])}
         ends = Counter()
         for w, c in head[n_words:]:
@@ -84,7 +95,7 @@ class Units:
         ranked = sorted(ends, key=lambda e: (-ends[e], e))[: n_classes - 1]
         return cls(words, {e: len(words) + i for i, e in enumerate(ranked)}, len(words) + len(ranked) + 1)
 
-    def of(self, word: bytes) -> int:
+    def of(self, word: str) -> int:
         found = self.words.get(word)
         return self.classes.get(word[-_SUFFIX:], self.size - 1) if found is None else found
 
@@ -106,11 +117,22 @@ def unit_totals(counts: DataFrame, units: Units) -> np.ndarray:
     return totals
 
 
+@dataclass
+class Encoded:
+    """Tokens of texts: words, and of each token its word, its number in the head (-1: none) and its unit; where each text's stop."""
+
+    words: list[str]
+    codes: np.ndarray
+    number: np.ndarray
+    unit: np.ndarray
+    stops: np.ndarray
+
+
 @dataclass
 class Model:
     """Vocabulary head, units and parameters; arrays ``base`` and ``inside`` hold log10 terms by head word."""
 
-    head: dict[bytes, int]
+    head: dict[str, int]
     counts: np.ndarray
     units: Units
     tokens: int
@@ -135,19 +157,26 @@ class Model:
     def noise(self) -> np.ndarray:
         return self.units.totals / self.units.totals.sum()
 
-    def unit_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Head number (-1: not in the head) and unit of each token."""
-        at = np.fromiter(map(self.head.get, words, repeat(-1)), np.int64, len(words))
-        unit = self.unit_of_head[at] if len(self.head) else np.zeros(len(words), np.int64)
-        for i in np.flatnonzero(at < 0):
-            unit[i] = self.units.of(words[i])
-        return at, unit
-
-    def contexts(self, unit: np.ndarray) -> np.ndarray:
-        """(token, position) units before each token, nearest first."""
-        n = len(self.scale)
-        padded = np.concatenate([np.full(n, self.units.size), unit[:-1]])
-        return np.lib.stride_tricks.sliding_window_view(padded, n)[:, ::-1]
+    def encode(self, texts: pa.Array) -> Encoded:
+        """Tokens of many texts."""
+        words, stops = split_words(texts)
+        coded = words.dictionary_encode()
+        distinct = [*coded.dictionary.to_pylist(), END]
+        number = np.fromiter(map(self.head.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unit = self.unit_of_head[number] if len(self.head) else np.zeros(len(distinct), np.int64)
+        for i in np.flatnonzero(number < 0):
+            unit[i] = self.units.of(distinct[i])
+        codes = np.insert(coded.indices.to_numpy(), stops, len(distinct) - 1)
+        return Encoded(distinct, codes, number[codes], unit[codes], stops + np.arange(1, len(stops) + 1))
+
+    def contexts(self, found: Encoded) -> np.ndarray:
+        """(token, position) units before each token in its text, nearest first."""
+        sizes = np.diff(found.stops, prepend=0)
+        within = np.arange(len(found.unit)) - np.repeat(found.stops - sizes, sizes)
+        out = np.full((len(found.unit), len(self.scale)), self.units.size)
+        for j in range(1, len(self.scale) + 1):
+            out[j:, j - 1] = np.where(within[j:] >= j, found.unit[:-j], self.units.size)
+        return out
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
         out = self.context[context[:, 0]] * self.scale[0]
@@ -155,22 +184,21 @@ class Model:
             out += self.context[context[:, j]] * self.scale[j]
         return out
 
-    def unit_log10(self, unit: np.ndarray) -> float:
-        """Sum of the log10 probabilities of a document's units."""
-        total = 0.0
-        contexts = self.contexts(unit)
+    def unit_log10(self, found: Encoded) -> np.ndarray:
+        """log10 probability of each token's unit."""
+        contexts, out = self.contexts(found), np.empty(len(found.unit))
         weights = np.concatenate([self.output.T, self.bias[None]])
         ones = np.ones(len(self.bias), np.float32)
         reach = np.sqrt((self.output**2).sum(axis=1).max())
-        for i in range(0, len(unit), _BLOCK):
-            target = unit[i : i + _BLOCK]
+        for i in range(0, len(out), _BLOCK):
+            target = found.unit[i : i + _BLOCK]
             r = self.predicted(contexts[i : i + _BLOCK])
             scores = np.concatenate([r, np.ones((len(r), 1), np.float32)], axis=1) @ weights
             if np.sqrt((r * r).sum(axis=1).max()) * reach + np.abs(self.bias).max() > 60:  # else no exponential can overflow
                 scores -= scores.max(axis=1, keepdims=True)
-            picked = scores[np.arange(len(target)), target].sum(dtype=np.float64)
-            total += picked - np.log(np.exp(scores, out=scores) @ ones).sum(dtype=np.float64)
-        return total / np.log(10)
+            picked = scores[np.arange(len(target)), target]
+            out[i : i + _BLOCK] = picked - np.log(np.exp(scores, out=scores) @ ones)
+        return out / np.log(10)
 
 
 class Trainer:
@@ -185,10 +213,10 @@ class Trainer:
         self.squares = [np.full(p.shape, 1e-3, np.float32) for p in model.parameters()]
         self.contexts, self.targets, self.waiting, self.seen = [], [], 0, 0
 
-    def add(self, unit: np.ndarray) -> None:
-        self.contexts.append(self.model.contexts(unit))
-        self.targets.append(unit)
-        self.waiting += len(unit)
+    def add(self, found: Encoded) -> None:
+        self.contexts.append(self.model.contexts(found))
+        self.targets.append(found.unit)
+        self.waiting += len(found.unit)
         if self.waiting >= 8 * _BATCH:
             self.flush()
 
@@ -243,7 +271,7 @@ def _summed(batches):
 
 
 def train(
-    docs: DataFrame, model: Model, seed: int = 0, draws: int = 32, rate: float = 0.3, least_tokens: int = 3_000_000, most_passes: int = 8, text_col: str = "text"
+    docs: DataFrame, model: Model, seed: int = 0, draws: int = 24, rate: float = 0.3, least_tokens: int = 3_000_000, most_passes: int = 8, text_col: str = "text"
 ) -> Model:
     """Run through all texts, again while fewer than ``least_tokens`` have been seen, at most ``most_passes`` times.
 
@@ -259,15 +287,15 @@ def train(
             own = Model(own.head, own.counts, own.units, own.tokens, own.types, *(p.copy() for p in own.parameters()))
             trainer = Trainer(own, seed + 7919 * number + TaskContext.get().partitionId(), draws, rate)
             for batch in batches:
-                for text in bytes_of(batch, text_col):
-                    trainer.add(own.unit_ids(words_of(text))[1])
+                for part in slices(batch):
+                    trainer.add(own.encode(part.column("text")))
             trainer.flush()
             if trainer.seen:
                 flat = np.concatenate([p.ravel() for p in own.parameters()]).astype(np.float64) * trainer.seen
                 yield pa.RecordBatch.from_arrays([pa.array([trainer.seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["seen", "blob"])
 
         schema = "seen long, blob binary"
-        sums = docs.select(text_col).mapInArrow(run, schema).repartition(16).mapInArrow(_summed, schema).collect()
+        sums = docs.select(F.col(text_col).alias("text")).mapInArrow(run, schema).repartition(16).mapInArrow(_summed, schema).collect()
         seen = sum(r["seen"] for r in sums)
         if not seen:
             return model
@@ -281,11 +309,11 @@ def train(
 
 
 def fit(
-    docs: DataFrame, counts: DataFrame, head: int = 100_000, n_words: int = 96, n_classes: int = 160, d: int = 16, positions: int = 4, seed: int = 0, **options
+    docs: DataFrame, counts: DataFrame, head: int = 100_000, n_words: int = 96, n_classes: int = 160, d: int = 16, positions: int = 3, seed: int = 0, **options
 ) -> Model:
     """Train on all of ``docs``, whose token counts are ``counts``."""
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(head).collect()]
+    top = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(head).collect()]
     units = Units.choose(top, n_words, n_classes)
     units.totals = unit_totals(counts, units)
     rng = np.random.default_rng(seed)
@@ -302,40 +330,29 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["key", "n_tokens", "n_known", "base_score", "score", "word", "n"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32()]
-
     def run(batches):
-        m, part, number = shared.value, TaskContext.get().partitionId(), 0
+        m, part, number = shared.value, TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            ids, made = [], []
-            for doc, text in zip(batch.column("doc_id"), bytes_of(batch)):
-                words = words_of(text)
-                at, unit = m.unit_ids(words)
-                in_head, tail = at[at >= 0], np.flatnonzero(at < 0)
-                base = m.base[in_head].sum() - len(tail) * np.log10(m.denominator)
-                total = m.unit_log10(unit) + m.inside[in_head].sum() - m.log_totals[unit[tail]].sum()
-                key = part << 40 | number
-                number += 1
-                ids.append(doc.as_py())
-                made.append((key, len(words), len(in_head), base, total, None, None))
-                for word, n in Counter(words[i] for i in tail).items():
-                    ids.append(None)
-                    made.append((key, None, None, None, None, word, n))
-                if len(made) > _FLUSH:
-                    yield _rows(ids, made)
-                    ids, made = [], []
-            if made:
-                yield _rows(ids, made)
-
-    def _rows(ids, made):
-        columns = [pa.array(ids, batch_type), *(pa.array(c, k) for c, k in zip(zip(*made), kinds))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", *names])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    batch_type = to_arrow_type(rows.schema["doc_id"].dataType)
-    schema = f"doc_id {kind}, key long, n_tokens long, n_known long, base_score double, score double, word binary, n int"
+            for rows in slices(batch):
+                found = m.encode(rows.column("text"))
+                known, sizes = found.number >= 0, np.diff(found.stops, prepend=0)
+                first = found.stops - sizes
+                head = np.where(known, found.number, 0)
+                inside = np.where(known, m.inside[head], -m.log_totals[found.unit]) if len(m.head) else -m.log_totals[found.unit]
+                base = np.where(known, m.base[head], -np.log10(m.denominator)) if len(m.head) else np.full(len(known), -np.log10(m.denominator))
+                keys = part + number + np.arange(len(sizes))
+                number += len(sizes)
+                sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), base, m.unit_log10(found) + inside)]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *map(pa.array, (keys, sizes, *sums)), pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int64())], names=names)
+                doc = np.repeat(np.arange(len(sizes)), sizes)[~known]
+                pairs, times = np.unique(doc * len(found.words) + found.codes[~known], return_counts=True)
+                words = pa.array(found.words).take(pa.array(pairs % len(found.words)))
+                absent = [pa.nulls(len(pairs), rows.column("doc_id").type), pa.array(keys[pairs // len(found.words)])]
+                absent += [pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([*absent, words, pa.array(times)], names=names)
+
+    names = ["doc_id", "key", "n_tokens", "n_known", "base_score", "score", "word", "n"]
+    schema = f"doc_id {kind}, key long, n_tokens long, n_known long, base_score double, score double, word string, n long"
     both = stored(rows.mapInArrow(run, schema), "lm-scores")
     tail = both.where("word IS NOT NULL").select("key", "word", "n").join(counts, "word", "left")
     logs = tail.groupBy("key").agg(

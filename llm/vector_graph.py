@@ -32,15 +32,20 @@ from llm.components import components
 _SAMPLE = 64  # rows per centroid that k-means sees
 _FANOUT = 32  # clusters that one group is cut into at most
 _LEVELS = 8
+_DENSE = 5
 _QUERIES = 512
 
 # -- numpy: clusters, pruning, search ---------------------------------------------------------------
 
 
-def k_means(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
-    """Unit centroids of unit vectors."""
-    rng = np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+def k_means(x: np.ndarray, k: int, seed: int, rounds: int = 6) -> np.ndarray:
+    """Unit centroids of unit vectors, from seeds each farthest from those before, so that a close group has one of them."""
+    seeds = [int(np.random.default_rng(seed).integers(len(x)))]
+    near = x @ x[seeds[0]]
+    while len(seeds) < min(k, len(x)):
+        seeds.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[seeds[-1]])
+    centres = x[seeds].copy()
     for _ in range(rounds):
         at = (x @ centres.T).argmax(axis=1)
         sums = np.zeros_like(centres)
@@ -106,40 +111,56 @@ def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, starts:
     for i, found in enumerate(lists):
         table[i, : len(found)] = found
     nq, rows = len(queries), np.arange(len(queries))
-    seen = np.zeros((nq, len(x)), bool)
+    seen, expanded = np.zeros((nq, len(x)), bool), np.zeros((nq, len(x)), bool)
     seen[rows, queries] = True
-    near = np.full((nq, len(x)), -np.inf)
-    waiting = np.zeros((nq, len(x)), bool)
+    nodes, near = np.full((nq, beam), -1), np.full((nq, beam), -np.inf)
+    found_q, found_node, waiting = [], [], []
 
-    def visit(q, node):
-        fresh = (node >= 0) & ~seen[q, node]
-        key = np.unique(q[fresh] * len(x) + node[fresh])
-        q, node = key // len(x), key % len(x)
+    def meet(q: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Cosines of nodes seen for the first time; those in range are noted."""
         seen[q, node] = True
-        near[q, node] = np.einsum("nd,nd->n", x[queries[q]], x[node])
-        waiting[q, node] = True
-
-    visit(np.repeat(rows, len(starts)), np.tile(starts, nq))
-    visit(np.repeat(rows, width), table[queries].ravel())
-    for _ in range(4 * beam):  # greedy: expand the nearest node of the beam that has not been expanded
-        top = np.argpartition(-near, min(beam, len(x)) - 1, axis=1)[:, :beam]
-        score = np.where(waiting[rows[:, None], top], near[rows[:, None], top], -np.inf)
+        cosine = np.einsum("nd,nd->n", x[queries[q]], x[node])
+        hit = cosine >= threshold
+        found_q.append(q[hit])
+        found_node.append(node[hit])
+        waiting.append((q[hit], node[hit]))
+        return cosine
+
+    def widen(q: np.ndarray, others: np.ndarray) -> None:
+        """Bring one list of nodes per query into its beam."""
+        fresh = (others >= 0) & ~seen[q[:, None], others]
+        at, slot = np.nonzero(fresh)
+        cosine = np.full(others.shape, -np.inf)
+        cosine[at, slot] = meet(q[at], others[at, slot])
+        both, all_nodes = np.concatenate([near[q], cosine], axis=1), np.concatenate([nodes[q], others], axis=1)
+        top = np.argpartition(-both, beam - 1, axis=1)[:, :beam]
+        near[q], nodes[q] = np.take_along_axis(both, top, axis=1), np.take_along_axis(all_nodes, top, axis=1)
+
+    widen(rows, np.tile(starts, (nq, 1)))
+    widen(rows, table[queries])
+    while True:  # greedy: expand the nearest node of the beam that has not been expanded
+        score = np.where(expanded[rows[:, None], nodes], -np.inf, near)
         best = score.argmax(axis=1)
-        some = score[rows, best] > -np.inf
-        if not some.any():
-            break
-        q, node = rows[some], top[rows, best][some]
-        waiting[q, node] = False
-        visit(np.repeat(q, width), table[node].ravel())
-    while True:  # range: expand all that is in range
-        q, node = np.nonzero(waiting & (near >= threshold))
+        q = np.flatnonzero(score[rows, best] > -np.inf)
         if not len(q):
             break
-        waiting[q, node] = False
+        node = nodes[q, best[q]]
+        expanded[q, node] = True
+        widen(q, table[node])
+    while waiting:  # range: expand all that is in range
+        q, node = (np.concatenate(c) for c in zip(*waiting))
+        waiting.clear()
+        left = ~expanded[q, node]
+        q, node = q[left], node[left]
+        expanded[q, node] = True
         for i in range(0, len(q), 1 << 15):
-            part = slice(i, i + (1 << 15))
-            visit(np.repeat(q[part], width), table[node[part]].ravel())
-    return np.nonzero(near >= threshold)
+            own, others = np.repeat(q[i : i + (1 << 15)], width), table[node[i : i + (1 << 15)]].ravel()
+            fresh = (others >= 0) & ~seen[own, others]
+            key = np.unique(own[fresh] * len(x) + others[fresh])
+            meet(key // len(x), key % len(x))
+        if not len(q):
+            break
+    return np.concatenate(found_q), np.concatenate(found_node)
 
 
 def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -275,16 +296,18 @@ def _searched(table: pa.Table, threshold: float) -> pa.Table:
 def shards(nodes: DataFrame, shard_size: int, overlap: int) -> DataFrame:
     """Nodes with their shard, in ``overlap`` shards each where a group is cut.
 
-    A group over ``shard_size`` is cut into at most _FANOUT clusters by k-means on a bounded sample, and these again, _LEVELS times at most.
+    A label over ``shard_size`` is cut into at most _FANOUT clusters by k-means on a bounded sample. A cluster is cut again only
+    over _DENSE times that size, so that a close group stays whole, _LEVELS times at most.
     """
     rows = nodes.withColumn("shard", F.concat_ws(":", "label", "dim"))
     done = None
-    for _ in range(_LEVELS):
+    for level in range(_LEVELS):
+        limit = shard_size * (_DENSE if level else 1)
         sizes = stored(rows.groupBy("shard").agg(F.count("*").alias("size")), "shard-sizes")
-        large = sizes.where(F.col("size") > shard_size).withColumn("k", F.least(F.lit(_FANOUT), F.ceil(2 * overlap * F.col("size") / shard_size)).cast("int"))
+        large = sizes.where(F.col("size") > limit).withColumn("k", F.least(F.lit(_FANOUT), F.ceil(overlap * F.col("size") / shard_size)).cast("int"))
         if large.isEmpty():
             break
-        fits = rows.join(sizes.where(F.col("size") <= shard_size).select("shard"), "shard", "left_semi")
+        fits = rows.join(sizes.where(F.col("size") <= limit).select("shard"), "shard", "left_semi")
         done = fits if done is None else done.unionByName(fits)
         big = rows.join(large, "shard")
         sample = big.where(F.pmod(F.xxhash64("id"), F.col("size")) < _SAMPLE * F.col("k"))
@@ -337,8 +360,8 @@ def _exact(nodes: DataFrame, queries: list, threshold: float) -> dict[int, int]:
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.93,
-    shard_size: int = 1500,
-    overlap: int = 3,
+    shard_size: int = 400,
+    overlap: int = 2,
     degree: int = 16,
     target_recall: float = 0.95,
     audit_queries: int = 2000,

@@ -9,11 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pagestrata import fixtures
 from pagestrata.operators.templates import read_templates
 from pagestrata.plans.parse import operations, page_blocks
-from pagestrata.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -67,12 +65,8 @@ def site_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of the site pages as a stored table, written once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir, "blocks")
-    if key not in _STORED:
-        blocks = page_blocks(site(spark, sf_dir), at("page_id + 1"))
-        _STORED[key] = stored(blocks, "blocks", "platform", "block_type")
-    return _STORED[key]
+    """Blocks of the site pages; each query parses anew."""
+    return page_blocks(site(spark, sf_dir), at("page_id + 1"))
 
 
 # -- SQL --------------------------------------------------------------------
@@ -118,6 +112,7 @@ def template_case(html: str, value: str = "label") -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
+# Markers of the platforms and of the Bitrix generations.
 PLATFORM = """CASE
   WHEN contains(html, '<!DOCTYPE html>') OR contains(html, '<html lang') OR contains(html, '<meta charset="UTF-8">') THEN 'html5'
   WHEN regexp_matches(html, 'wp-content|wp-includes|wp-json|<meta name="generator" content="WordPress|class="wordpress"|/wp-admin/|/wp-login\\.php') THEN 'wordpress'

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagestrata import rules
 from pagestrata.functions.chains import first_chain, leftmost_chain
+from pagestrata.functions.text import quoted
 from pagestrata.operators.dom import (
     sql_below,
     sql_inner_html,
     sql_let,
     sql_ordered_first,
-    sql_raw_text,
+    sql_text_bytes,
     sql_select,
 )
 from pagestrata.rules import CONTAINERS, TILDA_RECORD, Sel
@@ -52,7 +53,7 @@ def box(node: str, html: Column | None = None) -> Column:
         n["last_desc_id"].alias("last_desc_id"),
         n["text_start"].alias("text_start"),
         (F.expr(sql_inner_html(node)) if html is None else html).alias("html"),
-        F.expr(sql_raw_text(node)).alias("text"),
+        F.expr(sql_text_bytes(node)).alias("text"),
         F.expr(sql_below(node)).alias("below"),
     )
 
@@ -92,6 +93,6 @@ def with_tilda_container(df: DataFrame, part: str, into: str) -> DataFrame:
 def sql_rule_containers(part: str, containers: Mapping[tuple[str, str], Sequence[Sel]]) -> str:
     """CASE over ``platform``: the container node by each platform's own rules."""
     cases = " ".join(
-        f"WHEN platform = '{name}' THEN {sql_container_node(sels)}" for (name, p), sels in containers.items() if p == part
+        f"WHEN platform = {quoted(name)} THEN {sql_container_node(sels)}" for (name, p), sels in containers.items() if p == part
     )
     return f"CASE {cases} END"

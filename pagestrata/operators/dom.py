@@ -1,7 +1,7 @@
 """Pages to nodes, and selectors as expressions over a page's node array.
 
 ``with_nodes`` adds three columns to a page table: ``nodes`` (array of structs
-in document order), ``canon_html`` and ``page_text``.  ``nodes[i].node_id`` is
+in document order), ``canon_html`` and ``page_text``, both as UTF-8 bytes.  ``nodes[i].node_id`` is
 ``i``, and the descendants of a node are the slice right behind it, so tree
 questions are slices and comparisons inside one row: selecting and extracting
 from pages never shuffles, however large one site is.
@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -44,7 +45,25 @@ def _list_array(lengths: Sequence[int], values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(list(accumulate(lengths, initial=0)), pa.int32()), values)
 
 
-def _node_arrays(pages: list[list]) -> pa.Array:
+def _byte_places(text: str) -> np.ndarray | None:
+    """Byte offset of each character offset; None where they are equal."""
+    if text.isascii():
+        return None
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
+
+
+def _offsets(pages: list[list], readers: list[Reader], name: str) -> pa.Array:
+    """Byte offsets of all nodes into the page's markup or text, so that a cut copies only what it returns."""
+    parts = []
+    for nodes, reader in zip(pages, readers):
+        places = _byte_places(reader.text if name.startswith("text") else reader.canon)
+        own = np.array([getattr(n, name) for n in nodes], np.int32)
+        parts.append(own if places is None or not len(own) else places[own].astype(np.int32))
+    return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))
+
+
+def _node_arrays(pages: list[list], readers: list[Reader]) -> pa.Array:
     flat = [node for page in pages for node in page]
     attrs = [n.attrs or {} for n in flat]
     classes = [a["class"].split() if "class" in a else [] for a in attrs]
@@ -57,7 +76,7 @@ def _node_arrays(pages: list[list]) -> pa.Array:
         pa.MapArray.from_arrays(map_offsets, keys, values),
         _list_array(list(map(len, classes)), pa.array([c for cs in classes for c in cs], pa.string())),
     ]
-    columns += [pa.array([getattr(n, name) for n in flat], pa.int32()) for name in _OFFSETS]
+    columns += [_offsets(pages, readers, name) for name in _OFFSETS]
     structs = pa.StructArray.from_arrays(columns, names=NODE_TYPE.fieldNames())
     return _list_array(list(map(len, pages)), structs)
 
@@ -90,7 +109,7 @@ def with_nodes(
     schema = T.StructType(
         df.schema.fields
         + [T.StructField("nodes", T.ArrayType(NODE_TYPE))]
-        + ([T.StructField("canon_html", T.StringType()), T.StructField("page_text", T.StringType())] if texts else [])
+        + ([T.StructField("canon_html", T.BinaryType()), T.StructField("page_text", T.BinaryType())] if texts else [])
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,11 +122,11 @@ def with_nodes(
                 readers = [Reader().read(s or "") for s in sources[start:stop]]
                 nodes = [[n for n in r.nodes if kept is None or n.tag in kept] for r in readers]
                 piece = batch.slice(start, stop - start)
-                arrays = [*piece.columns, _node_arrays(nodes)]
+                arrays = [*piece.columns, _node_arrays(nodes, readers)]
                 names = [*piece.schema.names, "nodes"]
                 if texts:
-                    arrays += [pa.array([r.canon for r in readers], pa.string())]
-                    arrays += [pa.array([r.text for r in readers], pa.string())]
+                    arrays += [pa.array([r.canon.encode() for r in readers], pa.binary())]
+                    arrays += [pa.array([r.text.encode() for r in readers], pa.binary())]
                     names += ["canon_html", "page_text"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -185,17 +204,21 @@ def sql_inside(n: str, outer: str) -> str:
 
 
 def sql_inner_html(n: str) -> str:
-    return f"substring(canon_html, {n}.inner_start + 1, {n}.inner_end - {n}.inner_start)"
+    return f"CAST(substring(canon_html, {n}.inner_start + 1, {n}.inner_end - {n}.inner_start) AS STRING)"
 
 
 def sql_outer_html(n: str) -> str:
-    return f"substring(canon_html, {n}.html_start + 1, {n}.html_end - {n}.html_start)"
+    return f"CAST(substring(canon_html, {n}.html_start + 1, {n}.html_end - {n}.html_start) AS STRING)"
 
 
-def sql_raw_text(n: str, text: str = "page_text") -> str:
+def sql_text_bytes(n: str, text: str = "page_text") -> str:
     return f"substring({text}, {n}.text_start + 1, {n}.text_end - {n}.text_start)"
 
 
+def sql_raw_text(n: str, text: str = "page_text") -> str:
+    return f"CAST({sql_text_bytes(n, text)} AS STRING)"
+
+
 def sql_text(n: str, text: str = "page_text") -> str:
     """Trimmed text of a node."""
     return sql_trim(sql_raw_text(n, text))

@@ -24,7 +24,7 @@ def _hits(box: str, sels: Sequence[Sel], n: str = "n") -> str:
 
 def _text(box: str, n: str) -> str:
     """Trimmed text of a node, cut from the container's text."""
-    return sql_trim(f"substring({box}.text, {n}.text_start - {box}.text_start + 1, {n}.text_end - {n}.text_start)")
+    return sql_trim(f"CAST(substring({box}.text, {n}.text_start - {box}.text_start + 1, {n}.text_end - {n}.text_start) AS STRING)")
 
 
 def _first(box: str, sels: Sequence[Sel]) -> str:

@@ -1,4 +1,4 @@
-"""Joins and numbering that hold when one key has a large share of all rows."""
+"""Numbering that holds when one group has a large share of all rows."""
 
 from __future__ import annotations
 
@@ -6,43 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HOT_SHARE = 1000
-SPREAD = 64
-PLAIN_ROWS = 1_000_000
-
-
-def spread_join(
-    many: DataFrame,
-    one: DataFrame,
-    key: str,
-    by: str,
-    share: int = HOT_SHARE,
-    spread: int = SPREAD,
-    plain_rows: int = PLAIN_ROWS,
-) -> DataFrame:
-    """Inner join of ``many`` with ``one``, where ``key`` is unique in ``one`` but may be hot in ``many``.
-
-    Keys with more than 1/``share`` of the rows are split over ``spread``
-    tasks by a hash of column ``by``.  There are fewer than ``share`` such
-    keys, whatever the data, so the list of them can be broadcast.
-    """
-    total = many.count()
-    if total < plain_rows:
-        return many.join(one, key)
-    hot = (
-        many.groupBy(key)
-        .agg(F.count("*").alias("__n"))
-        .filter(F.col("__n") * share > total)
-        .select(key, F.lit(True).alias("__hot"))
-    )
-    zero = F.lit(0).cast("bigint")
-    slot = F.pmod(F.xxhash64(by), F.lit(spread))
-    left = many.join(F.broadcast(hot), key, "left").withColumn("__slot", F.when(F.col("__hot"), slot).otherwise(zero))
-    copies = F.when(F.col("__hot"), F.sequence(zero, F.lit(spread - 1).cast("bigint"))).otherwise(F.array(zero))
-    right = one.join(F.broadcast(hot), key, "left").withColumn("__slot", F.explode(copies))
-    return left.drop("__hot").join(right.drop("__hot"), [key, "__slot"]).drop("__slot")
-
-
 def numbered(df: DataFrame, group: str, order: Sequence[str], bucket: Column, into: str) -> DataFrame:
     """Number the rows of each group from 0, in order of (``order`` columns but the last, bucket, last column).
 

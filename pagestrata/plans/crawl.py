@@ -1,6 +1,7 @@
 """Depth-limited traversal of a link graph held in a page table.
 
-Each round is one join of the frontier with the pages' link lists.  Rounds are
+Each round is one join of the frontier with the pages' link lists; keys with many rows are split by the adaptive
+skew join.  Rounds are
 written to the work folder, so plans stay short and a lost executor does not
 restart the crawl.
 """
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagestrata.functions.urls import domain_key, in_domains, link_key, normal_url, resolved_link, url_parts
 from pagestrata.operators.links import with_hrefs
-from pagestrata.operators.skew import numbered, spread_join
-from pagestrata.rules import DEFAULT_ALLOWED_DOMAINS, DEFAULT_CRAWL_DELAY_SECONDS
+from pagestrata.operators.skew import numbered
+from pagestrata.rules import DEFAULT_CRAWL_DELAY_SECONDS
 from pagestrata.session import stored
 
 
@@ -35,8 +36,7 @@ def link_lists(pages: DataFrame, allowed: Sequence[str]) -> DataFrame:
 def crawl(
     pages: DataFrame,
     seeds: DataFrame,
-    allowed: Sequence[str] = DEFAULT_ALLOWED_DOMAINS,
-    plain_rows: int | None = None,
+    allowed: Sequence[str],
 ) -> DataFrame:
     """Visited URLs ``seed_url, url, depth, status`` by breadth; only pages with status 200 are expanded.
 
@@ -50,12 +50,11 @@ def crawl(
     page_key = F.regexp_extract("url", "^([^?]*)", 1).alias("page_key")
     frontier = start.select("seed_url", "url", page_key, "max_depth", F.lit(0).alias("depth"))
     frontier = stored(frontier.dropDuplicates(["seed_url", "url"]), "frontier")
-    options = {} if plain_rows is None else {"plain_rows": plain_rows}
     rounds = []
     while not frontier.isEmpty():
         rounds.append(frontier.select("seed_url", "url", "page_key", "depth"))
         live = lists.filter(F.col("status") == 200)
-        hits = spread_join(frontier.filter(F.col("depth") < F.col("max_depth")), live, "page_key", "seed_url", **options)
+        hits = frontier.filter(F.col("depth") < F.col("max_depth")).join(live, "page_key")
         found = hits.select("seed_url", F.explode("targets").alias("url"), "max_depth", (F.col("depth") + 1).alias("depth"))
         found = found.dropDuplicates(["seed_url", "url"])
         seen = reduce(DataFrame.unionByName, [r.select("seed_url", "url") for r in rounds])
@@ -65,19 +64,14 @@ def crawl(
         empty = "seed_url string, url string, depth int, status int"
         return spark.createDataFrame([], empty)
     visited = reduce(DataFrame.unionByName, rounds)
-    reached = spread_join(visited, lists.select("page_key", "status"), "page_key", "seed_url", **options)
-    missing = visited.join(lists.select("page_key"), "page_key", "left_anti").withColumn(
-        "status", F.lit(None).cast("int")
-    )
-    columns = ["seed_url", "url", "depth", "status"]
-    return reached.select(*columns).unionByName(missing.select(*columns))
+    return visited.join(lists.select("page_key", "status"), "page_key", "left").select("seed_url", "url", "depth", "status")
 
 
 def crawl_report(visited: DataFrame) -> DataFrame:
     """Links of each seed with the seed's link count; one row per link, so a large crawl stays distributed."""
     links = visited.filter(F.col("status") == 200).select("seed_url", "url", "depth")
     counts = links.groupBy("seed_url").agg(F.count("*").alias("links_count"))
-    return spread_join(links, counts, "seed_url", "url")
+    return links.join(counts, "seed_url")
 
 
 def fetch_schedule(urls: DataFrame, delay_seconds: int = DEFAULT_CRAWL_DELAY_SECONDS, bucket: Column | None = None) -> DataFrame:

@@ -223,6 +223,7 @@ PHONE_PATTERNS = (
     r"\d{3,}[\s-]?\d{3,}[\s-]?\d{2,}",
 )
 MAIL_PATTERN = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+# Marks of a copyright line.
 COPYRIGHT_MARKS = ("©", "&copy;", "Copyright")
 
 # Seeded template rows, (id, label, JSON rule) as they are stored.
@@ -296,9 +297,4 @@ TILDA_FOOTER_FALLBACK = [
 ]
 
 # Crawl defaults.
-DEFAULT_ALLOWED_DOMAINS = (
-    "botcreators.ru", "structura.app", "automatisation.art", "mindbox.ru", "skillfactory.ru",
-)
-DEFAULT_MAX_DEPTH = 2
-DEFAULT_CONCURRENCY = 5
 DEFAULT_CRAWL_DELAY_SECONDS = 1

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagestrata.functions.json_text import indented_content, indented_object
-from pagestrata.operators.skew import spread_join
 from pagestrata.rules import BLOCK_TYPES, PLATFORMS, STATUSES
 
 
@@ -32,7 +31,7 @@ def status_steps(log: DataFrame) -> DataFrame:
     """Each event with the status before it and whether that step is allowed; repeats are.
 
     The previous event is the greatest one before it, found by a merge over
-    hourly slots, so a job with very many events is not sorted in one task.
+    hourly slots, so a job's events are sorted by hour; one hour of one job is one task's.
     """
     slot = F.date_trunc("hour", F.col("ts"))
     events = log.withColumn("__slot", slot)
@@ -90,7 +89,7 @@ def artefact_rows(blocks: DataFrame) -> DataFrame:
 
 
 def rfc3339(column: str) -> Column:
-    return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ssXXX")
 
 
 def metadata_json(with_html: bool = False) -> Column:
@@ -162,14 +161,8 @@ def links_of(links: DataFrame, operation_id: str | Column) -> DataFrame:
 
 def operation_results(operations: DataFrame, blocks: DataFrame) -> DataFrame:
     """Operations with their blocks, one row per block; an operation without blocks has one row."""
-    columns = ["operation_id", "url", "status"]
-    block_columns = ["block_id", "block_type", "block_no", "content"]
-    ops = operations.select(*columns)
-    found = spread_join(blocks.select("operation_id", *block_columns), ops, "operation_id", "block_id")
-    bare = ops.join(blocks.select("operation_id").distinct(), "operation_id", "left_anti")
-    for name in block_columns:
-        bare = bare.withColumn(name, F.lit(None).cast(blocks.schema[name].dataType))
-    return found.select(*columns, *block_columns).unionByName(bare)
+    found = blocks.select("operation_id", "block_id", "block_type", "block_no", "content")
+    return operations.select("operation_id", "url", "status").join(found, "operation_id", "left")
 
 
 def owned_blocks(blocks: DataFrame, claims: DataFrame) -> DataFrame:
@@ -187,7 +180,7 @@ def file_listing(artefacts: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == "metadata").alias("metadata_files"),
         F.count("*").alias("total"),
     )
-    return spread_join(files, counts, "operation_id", "file")
+    return files.join(counts, "operation_id")
 
 
 def artefact_body(artefacts: DataFrame, wanted: DataFrame) -> DataFrame:

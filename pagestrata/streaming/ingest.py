@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from pagestrata.plans.parse import page_blocks
@@ -15,10 +15,9 @@ def page_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> Data
     return spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
-def ingest(pages: DataFrame, out: str, checkpoint: str, created_at=None) -> StreamingQuery:
+def ingest(pages: DataFrame, out: str, checkpoint: str, created_at: Column) -> StreamingQuery:
     """Parse arriving pages and append their blocks, each page once: the checkpoint and the file sink see to it."""
-    at = F.current_timestamp() if created_at is None else created_at
-    blocks = page_blocks(pages, at)
+    blocks = page_blocks(pages, created_at)
     return (
         blocks.writeStream.format("parquet")
         .option("path", out)

@@ -11,7 +11,8 @@ def running_status(events: DataFrame) -> DataFrame:
     """Latest status per operation over a stream of events; use output mode ``update``.
 
     One small row of state per operation, and events are combined before they
-    are shuffled, so a job with very many events is no bottleneck.
+    are shuffled, so a job with very many events is no bottleneck. State is kept for every
+    operation ever seen: retention is that of the table of operations itself.
     """
     latest = F.max_by(F.struct("status", "ts"), F.struct("ts", "event_id"))
     return events.groupBy("operation_id").agg(latest.alias("s")).select(

@@ -40,7 +40,8 @@ _SUFFIX = 3
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts end to end, and where each text's stop; a null text has none."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    whole = texts.take(pa.array(np.arange(len(texts))))  # a copy from offset 0: ascii_lower misreads sliced arrays
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(whole.cast(pa.large_string()).fill_null("")))
     stops, flat = lists.offsets.to_numpy()[1:].astype(np.int64), lists.flatten()
     real = pc.not_equal(flat, "")
     before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])

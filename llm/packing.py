@@ -27,11 +27,12 @@ from llm.common import stored, texts_of
 
 _CACHE = 800_000
 _CLOSING = ".,!?$%&*#;:"
+_DOTTED = "\u0130"  # lower-cases to a letter and a mark
 _LATIN = "\u0250"  # letters and digits below are such in every edition of the character tables
 _LONG = 64
 _BUCKETS = 256
 _FLUSH = 1 << 22
-_SLICE = 1 << 24
+_SLICE = 12 << 20
 
 
 class Words:
@@ -76,7 +77,7 @@ class Words:
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of each word."""
         known = self.known
-        stems = [s if (s := w.rstrip(_CLOSING)) and s[-1] < _LATIN and s[-1].isalnum() else w for w in words]
+        stems = [s if (s := w.rstrip(_CLOSING)) and s[-1] < _LATIN and s[-1].isalnum() and s[-1] != _DOTTED else w for w in words]
         marks = [w[len(s) :] for w, s in zip(words, stems)]
         found = self._fresh({p for p in stems if p not in known} | {p for p in set(marks) if p not in known})
         out = [(known[s] if s in known else found[s]) + (known[m] if m in known else found[m]) for s, m in zip(stems, marks)]
@@ -94,14 +95,17 @@ class Words:
         words = pc.ascii_split_whitespace(pc.if_else(pa.array(fits, pa.bool_()), lower, plain))
         stops = words.offsets.to_numpy()[1:].astype(np.int64)
         coded = words.flatten().dictionary_encode()
+        del plain, lower, words
         ids = [*self._ids(coded.dictionary.to_pylist()), end]
-        lengths = np.array([len(x) for x in ids]) // self.dtype.itemsize
-        pool, first = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(lengths) - lengths
-        codes = np.insert(coded.indices.to_numpy(), stops, len(ids) - 1)
+        lengths = np.array([len(x) for x in ids], np.int32) // self.dtype.itemsize
+        pool, first = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(lengths, dtype=np.int32) - lengths
+        del ids
+        codes = np.insert(coded.indices.to_numpy(), stops, len(lengths) - 1)
         counts = lengths[codes]
-        ends = np.cumsum(counts)
-        taken = np.arange(ends[-1]) + np.repeat(first[codes] - (ends - counts), counts)
-        return pool[taken], ends[stops + np.arange(len(stops))]
+        ends = np.cumsum(counts, dtype=np.int32)
+        taken = np.repeat(first[codes] - (ends - counts), counts)
+        taken += np.arange(ends[-1], dtype=np.int32)
+        return pool[taken], ends[stops + np.arange(len(stops))].astype(np.int64)
 
 
 def projection(vocabulary: int, dims: int, seed: int = 0) -> np.ndarray:

@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, max_chunk
 
 def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of each row and its score between 0 and 1."""
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    rows = docs.select(*dict.fromkeys((*keep, text_col)))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +176,7 @@ def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), te
                     np.add.at(totals, np.concatenate(owners), net.chunk_scores(np.concatenate(held)))
                 held, owners, size = [], [], 0
 
-            for i, text in enumerate(bytes_of(batch, "_text")):
+            for i, text in enumerate(bytes_of(batch, text_col)):
                 found = chunks_of(text)
                 counts[i] = len(found)
                 for j in range(0, len(found), 512):
@@ -190,7 +190,7 @@ def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), te
             columns = [batch.column(k) for k in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-logit)))], names=[*keep, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
     return rows.mapInArrow(run, f"{fields}, score double")
 
 

@@ -25,9 +25,10 @@ def words_of(t):
 @settings(deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(), st.sampled_from([" a\tB\x0bc\x0cd\x1ce\xa0f ", "\r\n", "É\x85É"]))))
 def test_words(texts):
-    words, stops = L.split_words(pa.array(texts, pa.string()))
     want = [words_of(t)[:-1] for t in texts]
-    assert words.to_pylist() == sum(want, []) and stops.tolist() == np.cumsum([len(w) for w in want]).tolist()
+    for column in (pa.array(texts, pa.string()), pa.array(["Some É words", *texts, "x"], pa.string()).slice(1, len(texts))):
+        words, stops = L.split_words(column)
+        assert words.to_pylist() == sum(want, []) and stops.tolist() == np.cumsum([len(w) for w in want]).tolist()
 
 
 def test_gradients():

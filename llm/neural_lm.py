@@ -32,7 +32,7 @@ from llm.common import crc_mod, stored
 
 END = ""  # no word is empty
 _FLUSH = 300_000
-_SLICE = 1 << 24
+_SLICE = 4 << 20
 _BATCH = 1024
 _BLOCK = 512
 _SUFFIX = 3
@@ -144,7 +144,7 @@ class Model:
     bias: np.ndarray  # (units,)
 
     def __post_init__(self):
-        self.unit_of_head = np.array([self.units.of(w) for w in self.head], np.int64)
+        self.unit_of_head = np.array([self.units.of(w) for w in self.head], np.int32)
         self.denominator = self.tokens + 0.5 * (self.types + 1)
         self.log_totals = np.log10(np.maximum(self.units.totals, 0.5))
         named = self.unit_of_head < len(self.units.words)
@@ -163,8 +163,8 @@ class Model:
         words, stops = split_words(texts)
         coded = words.dictionary_encode()
         distinct = [*coded.dictionary.to_pylist(), END]
-        number = np.fromiter(map(self.head.get, distinct, repeat(-1)), np.int64, len(distinct))
-        unit = self.unit_of_head[number] if len(self.head) else np.zeros(len(distinct), np.int64)
+        number = np.fromiter(map(self.head.get, distinct, repeat(-1)), np.int32, len(distinct))
+        unit = self.unit_of_head[number] if len(self.head) else np.zeros(len(distinct), np.int32)
         for i in np.flatnonzero(number < 0):
             unit[i] = self.units.of(distinct[i])
         codes = np.insert(coded.indices.to_numpy(), stops, len(distinct) - 1)
@@ -174,7 +174,7 @@ class Model:
         """(token, position) units before each token in its text, nearest first."""
         sizes = np.diff(found.stops, prepend=0)
         within = np.arange(len(found.unit)) - np.repeat(found.stops - sizes, sizes)
-        out = np.full((len(found.unit), len(self.scale)), self.units.size)
+        out = np.full((len(found.unit), len(self.scale)), self.units.size, np.int32)
         for j in range(1, len(self.scale) + 1):
             out[j:, j - 1] = np.where(within[j:] >= j, found.unit[:-j], self.units.size)
         return out
@@ -346,7 +346,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
                 sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), base, m.unit_log10(found) + inside)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *map(pa.array, (keys, sizes, *sums)), pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int64())], names=names)
                 doc = np.repeat(np.arange(len(sizes)), sizes)[~known]
-                pairs, times = np.unique(doc * len(found.words) + found.codes[~known], return_counts=True)
+                pairs, times = np.unique(doc * len(found.words) + found.codes[~known].astype(np.int64), return_counts=True)
                 words = pa.array(found.words).take(pa.array(pairs % len(found.words)))
                 absent = [pa.nulls(len(pairs), rows.column("doc_id").type), pa.array(keys[pairs // len(found.words)])]
                 absent += [pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import FACTS, SITE, over_blocks, query, site, site_blocks
+from catalog.base import FACTS, SITE, at, over_blocks, query, site, site_blocks
 from pagestrata.operators.detect import platform
-from pagestrata.operators.dom import sql_inner_html, with_nodes
+from pagestrata.operators.dom import sql_below, sql_inner_html, with_nodes
 from pagestrata.operators.segments import sql_candidates, sql_features, with_measured
-from pagestrata.operators.dom import sql_below
-from pagestrata.rules import MARKERS, PLATFORMS
+from pagestrata.plans.parse import outcomes, with_page_blocks
+from pagestrata.rules import MARKERS, PLATFORMS, OwnPlatform, cls, on
 
 _J1 = ("operation_id", "block_id", "block_type", "platform", "position", "block_no", "content", "html", "created_at")
 
@@ -76,6 +76,32 @@ def _html5(spark, sf):
     return site(spark, sf).filter(platform(F.col("html")) == "html5")
 
 
+@query(
+    "j1_outcomes",
+    f"""WITH {SITE} SELECT md5(url || '|' || CAST(page_id AS VARCHAR)) AS operation_id, CASE WHEN page_id % 10 = 9 THEN 'error' ELSE 'completed' END AS status,
+      CASE WHEN page_id % 10 = 9 THEN 'no page' END AS error FROM site""",
+)
+def j1_outcomes(spark, sf):
+    rows = site(spark, sf).withColumn("html", F.when(F.col("page_id") % 10 < 9, F.col("html")))
+    return outcomes(rows, at("page_id"), at("page_id + 2")).select("operation_id", "status", "error")
+
+
+_OWN_MARKER = '<nav><ul><li><a href="/The">'
+
+
+@query(
+    "e26_own_blocks",
+    f"""WITH {SITE}, {FACTS} SELECT page_id, 'own' AS platform, 'header' AS block_type, '{{"menu":' || CAST(to_json(nav_items) AS VARCHAR) || '}}' AS content, nav AS html
+    FROM shaped WHERE contains(html, '{_OWN_MARKER}')""",
+)
+def e26_blocks(spark, sf):
+    """Blocks of a platform given as data: markers, containers, fields."""
+    header, menu = [on("header", cls("own")), on("nav")], ("menu", [on("ul")])
+    rules = OwnPlatform((_OWN_MARKER,), {"header": header, "footer": [on("footer", cls("own"))]}, {"header": {"menu": menu}})
+    rows = with_page_blocks(site(spark, sf), own={"own": rules}).filter("platform = 'own'")
+    return rows.select("page_id", "platform", F.explode("blocks").alias("b")).select("page_id", "platform", "b.block_type", "b.content", "b.html")
+
+
 _SECTIONS = f"WITH {SITE}, {FACTS}"
 
 

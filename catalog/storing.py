@@ -111,7 +111,22 @@ def a10(spark, sf):
     kind = F.when(F.col("position") % 3 == 1, F.lit("aside")).otherwise(F.col("block_type"))
     builder = F.when(F.col("platform") == "tilda", F.lit("other")).otherwise(F.col("platform"))
     marked = blocks.withColumns({"block_type": kind, "platform": builder})
-    return marked.groupBy(F.coalesce(store.violation(), F.lit("valid")).alias("reason")).agg(F.count("*").alias("blocks"))
+    return marked.groupBy(F.coalesce(store.violation("blocks"), F.lit("valid")).alias("reason")).agg(F.count("*").alias("blocks"))
+
+
+@query(
+    "a10_link_quarantine",
+    f"""WITH {_LINKS}, marked AS (SELECT CASE WHEN page_id % 5 = 0 THEN 'depth' ELSE 'valid' END AS reason FROM links)
+    SELECT reason, count(*) AS links FROM marked GROUP BY reason""",
+)
+def a10_links(spark, sf):
+    """Links, some without a depth, split into valid ones and a quarantine."""
+    rows = page_links(table(spark, sf, "pages")).filter(F.startswith("href", F.lit("/")))
+    depth = F.when(F.col("page_id") % 5 > 0, F.lit(1))
+    links = rows.select(F.col("page_id").alias("operation_id"), F.col("href").alias("url"), depth.alias("depth"))
+    valid, quarantine = store.split_valid(links, "links")
+    both = valid.select(F.lit("valid").alias("reason")).unionByName(quarantine.select("reason"))
+    return both.groupBy("reason").agg(F.count("*").alias("links"))
 
 
 @query("a11_cascade", over_blocks("SELECT block_id FROM blocks WHERE page_id % 3 <> 0"))

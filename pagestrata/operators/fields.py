@@ -121,6 +121,19 @@ def last_marked_text(box: str, sels: Sequence[Sel], marks: Sequence[str]) -> str
 # Names are in alphabetical order, the order of keys in the stored JSON.
 
 
+def own_fields(box: str, wanted: dict[str, tuple[str, Sequence[Sel]]]) -> dict[str, str]:
+    """Fields of a platform given as data: name to (kind, selectors).
+
+    Kinds: ``text`` (first hit), ``menu`` (link texts), ``links`` (link targets), ``present``; any other kind is the attribute of that name.
+    """
+    readers = {"text": first_text, "menu": ordered_menu, "links": any_links, "present": present}
+    found = {}
+    for name in sorted(wanted):
+        kind, sels = wanted[name]
+        found[name] = readers[kind](box, sels) if kind in readers else ordered_attribute(box, sels, kind)
+    return found
+
+
 def html5_header(box: str) -> dict[str, str]:
     return {
         "contact": first_text(box, rules.HTML5_CONTACT),

@@ -31,7 +31,7 @@ from pagestrata.operators.segments import (
     sql_outside,
 )
 from pagestrata.operators.templates import read_templates
-from pagestrata.rules import CONTAINERS, MARKERS, PLATFORMS, Template, on
+from pagestrata.rules import CONTAINERS, MARKERS, PLATFORMS, OwnPlatform, Template, on
 
 BLOCK_COLUMNS = (
     "operation_id", "block_id", "block_type", "platform", "position", "block_no", "content", "html", "created_at",
@@ -72,20 +72,30 @@ def with_page_blocks(
     templates: Sequence[Template] | None = None,
     markers: Mapping[str, Sequence[str]] = MARKERS,
     order: Sequence[str] = PLATFORMS,
+    own: Mapping[str, OwnPlatform] | None = None,
 ) -> DataFrame:
-    """Add ``platform`` and ``blocks`` (array of ``{position, block_type, content, html}``) to pages."""
+    """Add ``platform`` and ``blocks`` (array of ``{position, block_type, content, html}``) to pages.
+
+    ``own`` names further platforms; their markers are tried before the others.
+    """
+    own = own or {}
+    markers = {**markers, **{p: rules.markers for p, rules in own.items()}}
+    order = (*own, *order)
     templates = read_templates() if templates is None else templates
     name = F.col("platform")
     df = pages.withColumn("platform", platform(F.col("html"), markers, order))
-    df = with_nodes(df.withColumn("__tree", name.isin("html5", "tilda", "bitrix")), only_if="__tree")
+    df = with_nodes(df.withColumn("__tree", name.isin("html5", "tilda", "bitrix", *own)), only_if="__tree")
     html5 = name == "html5"
 
     def node(part: str) -> Column:
-        return (
+        found = (
             F.when(html5, F.expr(sql_container_node([on(part)])))
             .when(name == "tilda", F.expr(sql_tilda_node(part)))
             .when(name == "bitrix", F.expr(sql_container_node(CONTAINERS["bitrix", part])))
         )
+        for p, rules in own.items():
+            found = found.when(name == p, F.expr(sql_container_node(rules.containers[part])))
+        return found
 
     def html(part: str) -> Column:
         found = f"__{part}_node"
@@ -93,7 +103,7 @@ def with_page_blocks(
             F.when(name == "wordpress", wordpress_fragment(part))
             .when(name == "tilda", tilda_html(found, part))
             .when(name == "bitrix", F.coalesce(F.expr(sql_inner_html(found)), F.lit("")))
-            .when(html5 & F.expr(sql_filled(found)), F.expr(sql_inner_html(found)))
+            .when(name.isin("html5", *own) & F.expr(sql_filled(found)), F.expr(sql_inner_html(found)))
         )
 
     df = df.withColumns(
@@ -128,6 +138,10 @@ def with_page_blocks(
             if platform_name == "bitrix":
                 columns = {**columns, "version": version}
             content = content.when(name == platform_name, _json(columns))
+        for p, rules in own.items():
+            if rules.fields.get(part):
+                content = content.when(name == p, _json(fields.own_fields(found, rules.fields[part])))
+        content = F.coalesce(content, F.lit("{}"))
         return F.when(fragment.isNotNull(), _block(part, content, fragment))
 
     labelled = F.expr(sql_labelled(sql_kept("__measured"), templates))
@@ -150,6 +164,21 @@ def with_page_blocks(
     return df.select(*pages.columns, "platform", placed.alias("blocks"))
 
 
+def outcomes(pages: DataFrame, created_at: Column, updated_at: Column, templates: Sequence[Template] | None = None) -> DataFrame:
+    """Operations after the parse, with ``status`` completed or error and the ``error``: no page, or no templates for an HTML5 page."""
+    some = bool(read_templates() if templates is None else templates)
+    error = F.when(F.col("html").isNull(), "no page").when((platform(F.col("html")) == "html5") & F.lit(not some), "no templates")
+    marked = pages.withColumn("__error", error)
+    return marked.select(
+        operation_id(F.col("url"), F.col("page_id")).alias("operation_id"),
+        "url",
+        F.when(F.col("__error").isNull(), "completed").otherwise("error").alias("status"),
+        F.col("__error").alias("error"),
+        created_at.alias("created_at"),
+        updated_at.alias("updated_at"),
+    )
+
+
 def page_blocks(pages: DataFrame, created_at: Column, **rules) -> DataFrame:
     """Block rows of a corpus (see ``BLOCK_COLUMNS``); ``created_at`` is an input, not the clock."""
     df = with_page_blocks(pages.withColumn("__at", created_at), **rules)

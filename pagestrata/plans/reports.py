@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagestrata.functions.json_text import indented_content
 from pagestrata.functions.text import byte_cut, html_safe_json
-from pagestrata.sources.store import artefact_rows, metadata_json, rfc3339
+from pagestrata.sources.store import artefact_rows, metadata_json, rfc3339, write_artefacts
 
 SHEET_CELL_BYTES = 32767
 REPORT_JSON_BYTES = 500
@@ -194,6 +194,12 @@ def bundle_manifest(operations: DataFrame, blocks: DataFrame) -> DataFrame:
     return files.select("operation_id", "path", F.octet_length("body").alias("bytes"), F.sha2("body", 256).alias("sha256"))
 
 
+def save_blocks(blocks: DataFrame, path: str) -> DataFrame:
+    """Write the blocks' files and return the receipt."""
+    write_artefacts(blocks, path)
+    return saved_blocks(blocks)
+
+
 def saved_blocks(blocks: DataFrame) -> DataFrame:
     """Receipt of a save: number of blocks and folder of each operation."""
     counts = blocks.groupBy("operation_id").agg(F.count("*").alias("blocks_count"))

@@ -6,6 +6,7 @@ longer lists to the operators; no code changes.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import NamedTuple
 
 
@@ -59,6 +60,15 @@ PLATFORMS = ("html5", "wordpress", "tilda", "bitrix")
 STATUSES = ("pending", "processing", "completed", "error")
 BLOCK_TYPES = ("header", "footer", "content")
 
+@dataclass(frozen=True)
+class OwnPlatform:
+    """A platform given as data: markers, selectors of its header and footer, and fields of each, name to (kind, selectors)."""
+
+    markers: tuple[str, ...]
+    containers: dict[str, list[Sel]]
+    fields: dict[str, dict[str, tuple[str, list[Sel]]]]
+
+
 # Substrings that identify a platform.
 MARKERS: dict[str, tuple[str, ...]] = {
     "html5": ("<!DOCTYPE html>", "<html lang", '<meta charset="UTF-8">'),

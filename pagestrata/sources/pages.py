@@ -33,6 +33,11 @@ def raw_files(pages: DataFrame) -> DataFrame:
     )
 
 
+def write_raw_files(pages: DataFrame, path: str, mode: str = "append") -> None:
+    """Raw-page sink: one row per page with its file name and text."""
+    raw_files(pages).write.mode(mode).parquet(path)
+
+
 def key_collisions(pages: DataFrame) -> DataFrame:
     """File keys that several pages share."""
     keyed = pages.select(file_key(F.col("url")).alias("file_key"))

@@ -61,6 +61,16 @@ def write_blocks(blocks: DataFrame, path: str, mode: str = "append") -> None:
     blocks.write.mode(mode).partitionBy("platform", "block_type").parquet(path)
 
 
+def append_operations(operations: DataFrame, path: str) -> None:
+    """Operation sink."""
+    operations.write.mode("append").parquet(path)
+
+
+def write_artefacts(blocks: DataFrame, path: str, mode: str = "append") -> None:
+    """Artefact sink: the files of each block as rows, by kind."""
+    artefact_rows(blocks).write.mode(mode).partitionBy("kind").parquet(path)
+
+
 def new_links(links: DataFrame, stored_links: DataFrame | None = None) -> DataFrame:
     """Links to append: once per operation and URL, and not stored before."""
     fresh = links.dropDuplicates(["operation_id", "url"])
@@ -109,9 +119,11 @@ def metadata_json(with_html: bool = False) -> Column:
 # -- constraints ------------------------------------------------------------
 
 
-def violation(status: bool = False) -> Column:
-    """Name of the first constraint a row breaks, or null."""
-    if status:
+def violation(table: str = "blocks") -> Column:
+    """Name of the first constraint that a row of operations, blocks or links breaks, or null."""
+    if table == "links":
+        checks = [(name, F.col(name).isNull()) for name in ("operation_id", "url", "depth")]
+    elif table == "operations":
         checks = [("url", F.col("url").isNull()), ("status", ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)))]
     else:
         checks = [
@@ -127,6 +139,12 @@ def violation(status: bool = False) -> Column:
     return reason
 
 
+def split_valid(rows: DataFrame, table: str = "blocks") -> tuple[DataFrame, DataFrame]:
+    """Rows that meet all constraints, and the others with the ``reason``."""
+    marked = rows.withColumn("reason", violation(table))
+    return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
+
+
 def without_operations(children: DataFrame, deleted: DataFrame) -> DataFrame:
     """Cascade: children of operations that are not deleted."""
     return children.join(deleted.select("operation_id"), "operation_id", "left_anti")

@@ -1,87 +1,43 @@
-"""Tag-soup reader: one page of HTML to flat node columns.
+"""Pages to flat node columns: the standard library's tokeniser and a stack of open elements.
 
-This is the only per-page Python of the package.  It makes one pass over the
-text with a stack of open elements and writes three things: canonical HTML,
-the decoded text, and for each element its offsets into both.  Everything that
-selects, compares or labels elements happens later in Spark on those columns.
-
-It follows the tree rules that matter for real pages: implied end tags, void
-and raw-text elements, implied table parts, and re-opening of formatting
-elements that were left open (``<p><b>a<p>b``).  Misnested formatting that
-would have to move nodes is closed in place instead.
+For each element the reader notes its offsets into two texts it writes on the way, canonical HTML and decoded text. Selecting, comparing and
+labelling happen in Spark on those columns. Tree rules are those that matter for real pages: void elements, implied end tags and table
+parts, and formatting that was left open and goes on in the next block (``<p><b>a<p>b``).
 """
 
 from __future__ import annotations
 
-import html as _html
 import re
-from html.entities import html5 as _ENTITIES
+from html.parser import HTMLParser
 
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input keygen link meta param source track wbr".split())
-RAW = frozenset("iframe noembed noframes noscript script style xmp".split())
-RCDATA = frozenset(("title", "textarea"))
 HEAD_ONLY = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 BLOCKS = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer "
-    "form header hgroup listing main menu nav ol pre search section summary ul".split()
+    "form header hgroup listing main menu nav ol p pre search section summary ul".split()
 )
-SPECIAL = BLOCKS | HEADINGS | VOID | RAW | RCDATA | frozenset(
-    "applet body button caption colgroup dd dt frameset head html li marquee object p plaintext select "
-    "table tbody td template tfoot th thead tr".split()
-) - {"nobr"}
-MARKED = frozenset("applet caption marquee object td th".split())
-SCOPE = frozenset("applet caption html marquee object table td template th".split())
-BUTTON_SCOPE = SCOPE | {"button"}
-LIST_SCOPE = SCOPE | {"ol", "ul"}
+SCOPE = frozenset("applet button caption html marquee object table td template th".split())
+SECTIONS = frozenset(("tbody", "tfoot", "thead"))
+CELLS = frozenset(("td", "th"))
 TABLE_SCOPE = frozenset(("html", "table", "template"))
-TABLE_PARTS = frozenset("caption col colgroup tbody td tfoot th thead tr".split())
-
-_MARK = re.compile(r"<(?:[a-zA-Z]|/|!|\?)")
-_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_ATTR = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)|(?=>)))?""")
-_TAG_END = re.compile(r"[\s/]*>")
-_REF = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)(=?)")
-_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&#39;"), ('"', "&#34;"), ("\r", "&#13;"))
-_NEEDS_ESCAPE = re.compile(r"[&<>'\"\r]")
-
-
-def escape(text: str) -> str:
-    if _NEEDS_ESCAPE.search(text):
-        for char, reference in _ESCAPES:
-            text = text.replace(char, reference)
-    return text
-
-
-def _reference(match: re.Match) -> str:
-    """Character reference in an attribute: a bare name before '=' stays as it is."""
-    name, equals = match.group(1), match.group(2)
-    if name[0] == "#" or name[-1] == ";":
-        return _html.unescape("&" + name) + equals
-    if equals or name not in _ENTITIES:
-        return match.group(0)
-    return _ENTITIES[name]
-
-
-def attribute_value(raw: str) -> str:
-    return _REF.sub(_reference, raw) if "&" in raw else raw
-
-
-def _attributes(source: str, pos: int) -> tuple[dict[str, str], bool, int]:
-    """Attributes from ``pos`` on, self-closing mark, position after the tag (-1 if it never ends)."""
-    attrs: dict[str, str] = {}
-    while True:
-        finish = _TAG_END.match(source, pos)
-        if finish:
-            return attrs, "/" in finish.group(), finish.end()
-        found = _ATTR.match(source, pos)
-        if not found:
-            return attrs, False, -1
-        key, double, single, bare = found.groups()
-        attrs.setdefault(key.lower(), attribute_value(double or single or bare or ""))
-        pos = found.end()
+LIST_STOPS = SCOPE | (BLOCKS - {"address", "div", "p"}) | HEADINGS
+#: Start tag -> open elements that it ends, each up to the given stops.
+ENDS = {
+    **dict.fromkeys((*BLOCKS, *HEADINGS, "hr"), [(frozenset("p"), SCOPE)]),
+    "li": [(frozenset(("li",)), LIST_STOPS), (frozenset("p"), SCOPE)],
+    **dict.fromkeys(("dd", "dt"), [(frozenset(("dd", "dt")), LIST_STOPS), (frozenset("p"), SCOPE)]),
+    "button": [(frozenset(("button",)), SCOPE - {"button"})],
+    **dict.fromkeys(CELLS, [(CELLS, TABLE_SCOPE)]),
+    "tr": [(CELLS | {"caption"}, TABLE_SCOPE), (frozenset(("tr",)), TABLE_SCOPE)],
+    **dict.fromkeys(SECTIONS, [(CELLS | {"caption"}, TABLE_SCOPE), (frozenset(("tr",)), TABLE_SCOPE), (SECTIONS, TABLE_SCOPE)]),
+}
+#: Table part -> the element it needs around it.
+NEEDS = {**dict.fromkeys(CELLS, (frozenset(("tr",)), "tr")), "tr": (SECTIONS, "tbody")}
+
+_ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", "'": "&#39;", '"': "&#34;", "\r": "&#13;"})
 
 
 class Node:
@@ -92,388 +48,178 @@ class Node:
         "html_start", "inner_start", "inner_end", "html_end", "text_start", "text_end",
     )
 
-    def __init__(self, node_id, parent_id, depth, tag, attrs, html_start, inner_start, text_start):
-        self.node_id = self.last_desc_id = node_id
-        self.parent_id = parent_id
-        self.depth = depth
-        self.tag = tag
-        self.attrs = attrs
-        self.html_start = html_start
-        self.inner_start = self.inner_end = inner_start
-        self.html_end = -1
-        self.text_start = self.text_end = text_start
 
-
-class Reader:
+class Reader(HTMLParser):
     """Nodes, canonical HTML and text of one page; ``read`` fills them."""
 
     def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
         self.nodes: list[Node] = []
+        self.canon = self.text = ""
         self._html: list[str] = []
-        self._text: list[str] = []
-        self._html_len = 0
-        self._text_len = 0
+        self._texts: list[str] = []
+        self._at = self._text_at = 0
         self._open: list[Node] = []
-        self._active: list[Node | None] = []  # formatting elements; None is a marker
-        self._foreign = 0
-        self._quirks = True
+        self._formatting: list[Node] = []  # opened and not ended by their own tag
         self._seen: set[str] = set()
 
-    # -- output ---------------------------------------------------------
+    def read(self, source: str) -> Reader:
+        self.feed(source.replace("\x00", "").replace("\r\n", "\n").replace("\r", "\n"))
+        self.close()
+        while self._open:
+            self._pop()
+        self.canon, self.text = "".join(self._html), "".join(self._texts)
+        return self
+
     def _write(self, piece: str) -> None:
         self._html.append(piece)
-        self._html_len += len(piece)
-
-    def _open_element(self, tag: str, attrs: dict[str, str] | None, void: bool = False) -> Node:
-        if attrs:
-            inner = "".join([f' {k}="{escape(v)}"' for k, v in attrs.items()])
-            opening = f"<{tag}{inner}/>" if void else f"<{tag}{inner}>"
-        else:
-            opening = f"<{tag}/>" if void else f"<{tag}>"
-        stack = self._open
-        start = self._html_len
-        end = start + len(opening)
-        parent = stack[-1].node_id if stack else -1
-        node = Node(len(self.nodes), parent, len(stack), tag, attrs, start, end, self._text_len)
+        self._at += len(piece)
+
+    def _push(self, tag: str, attrs: dict[str, str] | None = None) -> Node:
+        node = Node()
+        node.node_id = node.last_desc_id = len(self.nodes)
+        node.parent_id = self._open[-1].node_id if self._open else -1
+        node.depth, node.tag, node.attrs = len(self._open), tag, attrs
+        node.html_start, node.html_end = self._at, -1
+        node.text_start = node.text_end = self._text_at
+        inner = "".join(f' {k}="{v.translate(_ESCAPES)}"' for k, v in (attrs or {}).items())
+        self._write(f"<{tag}{inner}/>" if tag in VOID else f"<{tag}{inner}>")
+        node.inner_start = node.inner_end = self._at
         self.nodes.append(node)
-        self._html.append(opening)
-        self._html_len = end
-        if void:
-            node.html_end = end
-            return node
-        stack.append(node)
-        if tag in MARKED:
-            self._active.append(None)
-        elif tag == "svg" or tag == "math":
-            self._foreign += 1
+        if tag in VOID:
+            node.html_end = self._at
+        else:
+            self._open.append(node)
         return node
 
-    def _close_top(self) -> str:
+    def _pop(self) -> Node:
         node = self._open.pop()
-        tag = node.tag
-        node.inner_end = self._html_len
-        self._write(f"</{tag}>")
-        node.html_end = self._html_len
-        node.text_end = self._text_len
-        node.last_desc_id = len(self.nodes) - 1
-        if tag in MARKED:
-            while self._active and self._active.pop() is not None:
-                pass
-        elif tag == "svg" or tag == "math":
-            self._foreign -= 1
-        return tag
-
-    def _put_text(self, text: str, raw: bool = False) -> None:
-        if not text:
-            return
-        self._text.append(text)
-        self._text_len += len(text)
-        self._write(text if raw else escape(text))
+        node.inner_end, node.text_end = self._at, self._text_at
+        self._write(f"</{node.tag}>")
+        node.html_end, node.last_desc_id = self._at, len(self.nodes) - 1
+        if node.tag in CELLS:  # formatting does not go on beyond a cell
+            self._formatting = [f for f in self._formatting if f.node_id < node.node_id]
+        return node
 
-    # -- stack ----------------------------------------------------------
     def _top(self) -> str:
         return self._open[-1].tag if self._open else ""
 
-    def _in_scope(self, wanted, stops=SCOPE) -> bool:
+    def _in_scope(self, wanted, stops) -> bool:
         for node in reversed(self._open):
-            tag = node.tag
-            if tag in wanted:
+            if node.tag in wanted:
                 return True
-            if tag in stops:
+            if node.tag in stops:
                 return False
         return False
 
-    def _close_through(self, wanted) -> None:
-        while self._close_top() not in wanted:
+    def _end(self, wanted, stops=SCOPE) -> bool:
+        """End the nearest of the wanted elements and all in it, if none of the stops is in between."""
+        if not self._in_scope(wanted, stops):
+            return False
+        while self._pop().tag not in wanted:
             pass
+        return True
 
-    def _close_in_scope(self, wanted, stops=SCOPE) -> bool:
-        found = self._in_scope(wanted, stops)
-        if found:
-            self._close_through(wanted)
-        return found
-
-    def _close_item(self, wanted) -> None:
-        """Close an open list item unless another special element is in between."""
-        for node in reversed(self._open):
-            tag = node.tag
-            if tag in wanted:
-                self._close_through(wanted)
-                return
-            if tag in SPECIAL and tag not in ("address", "div", "p"):
-                return
-
-    # -- formatting elements --------------------------------------------
-    def _reopen(self) -> None:
-        active = self._active
-        if not active or active[-1] is None or active[-1].html_end < 0:
+    def _resume(self) -> None:
+        """Open again the formatting that ended with its block; of equal ones the last three."""
+        if not self._formatting or self._formatting[-1].html_end < 0:
             return
-        first = len(active)
-        while first and active[first - 1] is not None and active[first - 1].html_end >= 0:
-            first -= 1
-        for i in range(first, len(active)):
-            active[i] = self._open_element(active[i].tag, active[i].attrs)
+        closed = [i for i, f in enumerate(self._formatting) if f.html_end >= 0]
+        for i in closed:
+            self._formatting[i] = self._push(self._formatting[i].tag, self._formatting[i].attrs)
 
-    def _add_formatting(self, tag: str, attrs: dict[str, str] | None) -> None:
-        node = self._open_element(tag, attrs)
-        same = []
-        for i in range(len(self._active) - 1, -1, -1):
-            other = self._active[i]
-            if other is None:
-                break
-            if other.tag == tag and other.attrs == attrs:
-                same.append(i)
-        if len(same) >= 3:
-            del self._active[same[-1]]
-        self._active.append(node)
+    # -- tokens ---------------------------------------------------------
 
-    def _end_formatting(self, tag: str) -> None:
-        for i in range(len(self._active) - 1, -1, -1):
-            node = self._active[i]
-            if node is None:
-                break
-            if node.tag != tag:
-                continue
-            if node.html_end >= 0:  # no longer open
-                del self._active[i]
-                return
-            at = self._open.index(node)
-            if any(n.tag in SCOPE for n in self._open[at:]):
-                return
-            del self._active[i]
-            if not any(n.tag in SPECIAL for n in self._open[at + 1 :]):
-                while self._open[-1] != node:
-                    self._close_top()
-                self._close_top()
-            return
-        self._end_other(tag)
-
-    # -- tags -----------------------------------------------------------
-    def _start(self, tag: str, attrs: dict[str, str] | None, closed: bool) -> None:
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "head", "body"):
             if tag in self._seen or (tag == "head" and "body" in self._seen):
                 return
             self._seen.add(tag)
-            if tag == "body" and self._in_scope(("head",)):
-                self._close_through(("head",))
-            self._open_element(tag, attrs)
-            return
-        if self._open and tag not in HEAD_ONLY and self._top() == "head":
-            self._close_top()
-        if self._foreign:
-            self._open_element(tag, attrs)
-            if closed:
-                self._close_top()
-            return
+        values: dict[str, str] = {}
+        for name, value in attrs:
+            values.setdefault(name, value or "")
+        if self._top() == "head" and tag not in HEAD_ONLY:
+            self._pop()
+        for wanted, stops in ENDS.get(tag, ()):
+            self._end(wanted, stops)
+        if tag in HEADINGS and self._top() in HEADINGS or tag in ("option", "optgroup") and self._top() == "option":
+            self._pop()
+        if tag in NEEDS and self._in_scope(("table",), ("html",)):
+            self._complete(tag)
         if tag in FORMATTING:
-            if tag == "a" and any(n.tag == "a" for n in self._after_marker()):
+            if tag == "a":
                 self._end_formatting("a")
-            self._reopen()
-            self._add_formatting(tag, attrs)
-            return
-        if tag in VOID:
-            if tag == "hr":
-                self._close_in_scope(("p",), BUTTON_SCOPE)
-            elif tag in ("area", "br", "embed", "img", "input", "keygen", "wbr"):
-                self._reopen()
-            elif tag == "col" and not self._in_scope(("table",), TABLE_SCOPE - {"table"}):
-                return
-            self._open_element(tag, attrs, void=True)
+            self._resume()
+            same = [f for f in self._formatting if f.tag == tag and f.attrs == (values or None)]
+            if len(same) >= 3:
+                self._formatting.remove(same[0])
+            self._formatting.append(self._push(tag, values or None))
             return
-        if tag in HEADINGS:
-            self._close_in_scope(("p",), BUTTON_SCOPE)
-            if self._top() in HEADINGS:
-                self._close_top()
-        elif tag == "p" or tag in BLOCKS:
-            self._close_in_scope(("p",), BUTTON_SCOPE)
-        elif tag == "li":
-            self._close_item(("li",))
-            self._close_in_scope(("p",), BUTTON_SCOPE)
-        elif tag in ("dd", "dt"):
-            self._close_item(("dd", "dt"))
-            self._close_in_scope(("p",), BUTTON_SCOPE)
-        elif tag == "table":
-            if not self._quirks:
-                self._close_in_scope(("p",), BUTTON_SCOPE)
-        elif tag in TABLE_PARTS:
-            if not self._in_scope(("table",), ("html", "template")):
-                return
-            self._table_part(tag)
-        elif tag == "button":
-            self._close_in_scope(("button",))
-            self._reopen()
-        elif tag in ("option", "optgroup"):
-            if self._top() == "option":
-                self._close_top()
-            if tag == "optgroup" and self._top() == "optgroup":
-                self._close_top()
-            self._reopen()
-        elif tag in ("svg", "math") and closed:
-            self._reopen()
-            self._open_element(tag, attrs)
-            self._close_top()
-            return
-        elif tag not in HEAD_ONLY and tag not in RAW:
-            self._reopen()
-        self._open_element(tag, attrs)
-
-    def _after_marker(self) -> list[Node]:
-        nodes = []
-        for node in reversed(self._active):
-            if node is None:
-                break
-            nodes.append(node)
-        return nodes
+        inline = tag not in ENDS and tag not in HEAD_ONLY and tag not in NEEDS and tag not in ("html", "head", "body", "table", "caption", "colgroup", "col")
+        if inline:
+            self._resume()
+        self._push(tag, values or None)
+
+    def _complete(self, tag: str) -> None:
+        around, missing = NEEDS[tag]
+        if not self._in_scope(around, TABLE_SCOPE):
+            if missing in NEEDS:
+                self._complete(missing)
+            self._push(missing)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        before = len(self._open)
+        self.handle_starttag(tag, attrs)
+        if self._in_scope(("svg", "math"), ()) and len(self._open) > before:
+            self._pop()
 
-    def _table_part(self, tag: str) -> None:
-        sections = ("tbody", "tfoot", "thead")
-        if tag in ("td", "th"):
-            self._close_in_scope(("td", "th"), TABLE_SCOPE)
-            if not self._in_scope(("tr",), TABLE_SCOPE):
-                self._table_part("tr")
-                self._open_element("tr", None)
+    def _end_formatting(self, tag: str) -> None:
+        found = next((f for f in reversed(self._formatting) if f.tag == tag), None)
+        if found is None:
             return
-        self._close_in_scope(("td", "th", "caption"), TABLE_SCOPE)
-        self._close_in_scope(("tr",), TABLE_SCOPE)
-        if tag == "tr":
-            if not self._in_scope(sections, TABLE_SCOPE):
-                self._open_element("tbody", None)
-        else:
-            self._close_in_scope(sections, TABLE_SCOPE)
-
-    def _end(self, tag: str) -> None:
-        if tag in ("html", "body"):
+        if found.html_end < 0 and any(n.tag in SCOPE for n in self._open[self._open.index(found) :]):
+            return
+        self._formatting.remove(found)
+        if found.html_end < 0:
+            inside = self._open[self._open.index(found) + 1 :]
+            if all(n.tag not in BLOCKS for n in inside):
+                while self._pop() is not found:
+                    pass
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("html", "body") or tag in VOID and tag != "br":
             return
         if tag in FORMATTING:
             self._end_formatting(tag)
-        elif tag == "p":
-            if not self._close_in_scope(("p",), BUTTON_SCOPE):
-                self._open_element("p", None)
-                self._close_top()
         elif tag == "br":
-            self._reopen()
-            self._open_element("br", None, void=True)
-        elif tag in VOID:
-            return
+            self._resume()
+            self._push("br")
+        elif tag == "p":
+            if not self._end(("p",)):
+                self._push("p")
+                self._pop()
         elif tag in HEADINGS:
-            self._close_in_scope(HEADINGS)
+            self._end(HEADINGS)
         elif tag == "li":
-            self._close_in_scope(("li",), LIST_SCOPE)
-        elif tag == "table" or tag in TABLE_PARTS:
-            self._close_in_scope((tag,), TABLE_SCOPE - {tag})
-        elif tag in BLOCKS or tag in ("button", "dd", "dt", "head", "applet", "marquee", "object"):
-            self._close_in_scope((tag,), SCOPE - {tag})
+            self._end(("li",), SCOPE | {"ol", "ul"})
+        elif tag == "table" or tag in NEEDS or tag in SECTIONS or tag == "caption":
+            self._end((tag,), TABLE_SCOPE - {tag})
         else:
-            self._end_other(tag)
-
-    def _end_other(self, tag: str) -> None:
-        for node in reversed(self._open):
-            if node.tag == tag:
-                self._close_through((tag,))
-                return
-            if node.tag in SPECIAL:
-                return
-
-    # -- text -----------------------------------------------------------
-    def read(self, source: str) -> "Reader":
-        source = source.replace("\x00", "")
-        if "\r" in source:
-            source = source.replace("\r\n", "\n").replace("\r", "\n")
-        pos, end = 0, len(source)
-        skip_newline = False
-        while pos < end:
-            mark = _MARK.search(source, pos)
-            stop = mark.start() if mark else end
-            if stop > pos:
-                text = source[pos:stop]
-                if skip_newline and text[0] == "\n":
-                    text = text[1:]
-                if "&" in text:
-                    text = _html.unescape(text)
-                if not self._foreign and (self._open and self._top() != "head" or text.strip()):
-                    if self._top() == "head" and text.strip():
-                        self._close_top()
-                    if not self._in_table_gap():
-                        self._reopen()
-                self._put_text(text)
-            skip_newline = False
-            if mark is None:
-                break
-            lead = source[stop + 1]
-            if lead == "!" or lead == "?":
-                pos = self._declaration(source, stop, end)
-                continue
-            if lead == "/":
-                name = _NAME.match(source, stop + 2)
-                close = source.find(">", stop + 2)
-                close = end if close < 0 else close
-                if name:
-                    if close < end:
-                        self._end(name.group().lower())
-                elif close > stop + 2:
-                    self._comment(source[stop + 2 : close])
-                pos = close + 1
-                continue
-            name = _NAME.match(source, stop + 1)
-            tag = name.group().lower()
-            pos = name.end()
-            attrs, closed = None, False
-            if source.startswith(">", pos):
-                pos += 1
-            else:
-                attrs, closed, pos = _attributes(source, pos)
-                if pos < 0:
-                    return self._finish()
-            if tag == "image":
-                tag = "img"
-            before = len(self.nodes)
-            self._start(tag, attrs, closed)
-            if len(self.nodes) == before or self._foreign:
-                continue
-            if tag in RAW or tag in RCDATA:
-                close_tag = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, pos)
-                stop = close_tag.start() if close_tag else end
-                text = source[pos:stop]
-                if tag == "textarea" and text[:1] == "\n":
-                    text = text[1:]
-                if tag in RCDATA:
-                    self._put_text(_html.unescape(text) if "&" in text else text)
-                else:
-                    self._put_text(text, raw=True)
-                self._close_top()
-                close = source.find(">", stop)
-                pos = end if close < 0 else close + 1
-            skip_newline = tag in ("pre", "listing")
-        return self._finish()
+            self._end((tag,), SCOPE - {tag} if tag in BLOCKS else BLOCKS | SCOPE - {tag})
 
-    def _in_table_gap(self) -> bool:
-        return self._top() in ("table", "tbody", "thead", "tfoot", "tr", "colgroup")
-
-    def _comment(self, body: str) -> None:
-        self._write(f"<!--{body}-->")
-
-    def _declaration(self, source: str, start: int, end: int) -> int:
-        if source.startswith("<!--", start):
-            close = source.find("-->", start + 4)
-            self._comment(source[start + 4 : end if close < 0 else close])
-            return end if close < 0 else close + 3
-        close = source.find(">", start)
-        close = end if close < 0 else close
-        if source[start + 2 : start + 9].lower() == "doctype":
-            self._quirks = source[start + 9 : close].strip().lower() != "html"
+    def handle_data(self, data: str) -> None:
+        top = self._top()
+        if top in ("script", "style"):
+            written = data
         else:
-            self._comment(source[start + (1 if source[start + 1] == "?" else 2) : close])
-        return close + 1
-
-    def _finish(self) -> "Reader":
-        while self._open:
-            self._close_top()
-        return self
-
-    @property
-    def canon(self) -> str:
-        return "".join(self._html)
-
-    @property
-    def text(self) -> str:
-        return "".join(self._text)
+            if top == "head" and data.strip():
+                self._pop()
+            if self._top() != "head" and (self._open or data.strip()) and self._top() not in ("table", "tr", *SECTIONS):
+                self._resume()
+            written = data.translate(_ESCAPES)
+        self._texts.append(data)
+        self._text_at += len(data)
+        self._write(written)
+
+    def handle_comment(self, data: str) -> None:
+        self._write(f"<!--{data}-->")

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagestrata import fixtures
-from pagestrata.operators.templates import read_templates
 from pagestrata.plans.parse import operations, page_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,14 +100,47 @@ def json_list(value: str) -> str:
     return f"CASE WHEN len({value}) > 0 THEN CAST(to_json({value}) AS VARCHAR) END"
 
 
+# The seeded templates in match order, (id, priority, label, steps); each step holds if one of its options occurs.
+TEMPLATES = (
+    (2, 0, "Карта", (("map",),)),
+    (5, 0, "Карточка товара", (("tovar",),)),
+    (6, 0, "Контакты", (("contacts",),)),
+    (7, 0, "Партнеры", (("partners",),)),
+    (8, 0, "Поиск", (("find",),)),
+    (10, 0, "Таблица", (("table",),)),
+    (18, 0, "Карусель, слайд шоу с текстом", (("swiper",), ("<p", "<h",),)),
+    (11, 1, "Таймлайн", (("timeline",),)),
+    (17, 1, "Товары", (("products",),)),
+    (19, 1, "FAQ", (("faq",),)),
+    (20, 1, "Форма обратной связи", (("mailto:tel:",),)),
+    (21, 1, "Карусель, слайд шоу", (("swiper",),)),
+    (9, 3, "Смешанный контент", (("<p", "<h",), ("<button", "<a",),)),
+    (1, 4, "Блок с картинкой 3 колонки", (("<img",), ("col-3",),)),
+    (3, 4, "Картинка + Действие", (("<img",), ("<button", "<a",),)),
+    (13, 4, "Текстовый блок", (("<p", "<h",),)),
+    (16, 4, "Текст блок + Картинка", (("<p", "<h",), ("<img",),)),
+    (4, 5, "Картинка+текст", (("<img",), ("<p", "<h",),)),
+    (12, 5, "Текст + Действие", (("<p", "<h",), ("<button", "<a",),)),
+    (14, 5, "Текстовый блок 2 колонки", (("<p", "<h",), ("col-2",),)),
+    (15, 5, "Попап, виджет", (("popup", "onclick",),)),
+    (22, 5, "Блок с картинкой", (("<img",),)),
+)
+
+# Markers by platform.
+MARKERS = {
+    "html5": ("<!DOCTYPE html>", "<html lang", '<meta charset="UTF-8">',),
+    "wordpress": ("wp-content", "wp-includes", "wp-json", '<meta name="generator" content="WordPress', 'class="wordpress"', "/wp-admin/", "/wp-login.php",),
+    "tilda": ("tilda.ws", "tildacdn.com", '<meta name="generator" content="Tilda', "data-tilda", "t-body", "t-page", "t-records", "t-rec", 'class="t', 'id="t',),
+    "bitrix": ("bitrix/js", "bitrix/templates", '<meta name="generator" content="Bitrix', "BX\\.", "b24-widget", 'class="bx-', 'id="bx_', "<!-- Bitrix", "1C-Bitrix", "/bitrix/",),
+}
+
+
 def template_case(html: str, value: str = "label") -> str:
     """DuckDB CASE of the seeded templates in match order."""
     cases = []
-    for t in read_templates():
-        steps = " AND ".join(
-            "(" + " OR ".join(f"contains({html}, {sql_string(o)})" for o in step) + ")" for step in t.steps
-        )
-        cases.append(f"WHEN {steps} THEN {sql_string(t.label) if value == 'label' else t.template_id}")
+    for number, _, label, steps in TEMPLATES:
+        tests = " AND ".join("(" + " OR ".join(f"contains({html}, {sql_string(o)})" for o in step) + ")" for step in steps)
+        cases.append(f"WHEN {tests} THEN {sql_string(label) if value == 'label' else number}")
     return "CASE " + " ".join(cases) + " END"
 
 

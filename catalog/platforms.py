@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import (
     BITRIX_VERSION,
+    MARKERS,
     PLATFORM,
     SITE,
     WORDPRESS,
@@ -15,11 +16,11 @@ from catalog.base import (
     sql_string,
     table,
 )
+from pagestrata import rules
 from pagestrata.functions.text import has_contact, likely_phone, valid_phone
 from pagestrata.operators import fields
 from pagestrata.operators.containers import wordpress_fragment
 from pagestrata.operators.detect import bitrix_version, is_platform, marker_hits, platform
-from pagestrata.rules import MARKERS
 from pagestrata.sources.pages import key_collisions, raw_files, read_pages
 
 _FILE_KEY = "regexp_replace(regexp_replace(url, '^http://', ''), '^https://', '')"
@@ -62,16 +63,11 @@ def a3_collisions(spark, sf):
     return key_collisions(bare)
 
 
-_FLAGS = ", ".join(
-    "(" + " OR ".join(f"contains(html, {sql_string(m)})" for m in found) + f") AS is_{name}" for name, found in MARKERS.items()
-)
-
-
 def _flag(name):
     columns = "(" + " OR ".join(f"contains(html, {sql_string(m)})" for m in MARKERS[name]) + ")"
 
     def run(spark, sf):
-        return site(spark, sf).select("page_id", is_platform(F.col("html"), MARKERS[name]).alias("found"))
+        return site(spark, sf).select("page_id", is_platform(F.col("html"), rules.MARKERS[name]).alias("found"))
 
     return f"WITH {SITE} SELECT page_id, {columns} AS found FROM site", run
 

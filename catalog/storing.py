@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from catalog.base import OPS, SITE, STATUS, at, over_blocks, query, site, site_blocks, site_operations, sql_string, status_log, table
+from catalog.base import OPS, SITE, STATUS, TEMPLATES, at, over_blocks, query, site, site_blocks, site_operations, sql_string, status_log, table
 from pagestrata.operators.links import page_links
-from pagestrata.operators.templates import read_templates, template_match, template_table, templates_of
+from pagestrata.operators.templates import template_match, template_table, templates_of
 from pagestrata.plans import reports
 from pagestrata.plans.parse import operations
 from pagestrata.sources import store
+from pagestrata.session import work_dir
+from pagestrata.streaming.ingest import ingest, page_stream
 from pagestrata.streaming.status import running_status
 
 _OPS = f"WITH {SITE}, {OPS}"
@@ -73,7 +77,7 @@ def a8(spark, sf):
     return store.new_links(links.filter(F.startswith("url", F.lit("/"))), before)
 
 
-_TEMPLATES = "VALUES " + ", ".join(f"({t.template_id}, {t.priority}, {sql_string(t.label)})" for t in read_templates())
+_TEMPLATES = "VALUES " + ", ".join(f"({number}, {priority}, {sql_string(label)})" for number, priority, label, _ in TEMPLATES)
 
 
 @query(
@@ -305,3 +309,11 @@ def h12(spark, sf):
 @query("j4_saved_blocks", over_blocks("SELECT operation_id, count(*) AS blocks_count, 'blocks/' || operation_id AS directory FROM blocks GROUP BY operation_id"))
 def j4(spark, sf):
     return reports.saved_blocks(site_blocks(spark, sf))
+
+
+@query("j3_streamed_blocks", "SELECT 'html5' AS platform, 'footer' AS block_type, count(*) AS blocks FROM pages")
+def j3(spark, sf):
+    """Blocks of the pages as a stream of files, appended to a table and read again."""
+    out = f"{work_dir(spark)}/streamed-{uuid.uuid4().hex}"
+    ingest(page_stream(spark, f"{sf}/page[s].parquet"), f"{out}/blocks", f"{out}/log", at("page_id")).awaitTermination()
+    return spark.read.parquet(f"{out}/blocks").groupBy("platform", "block_type").agg(F.count("*").alias("blocks"))

@@ -9,7 +9,7 @@ A unit's score is the product of its output vector with the sum of the context's
 Training compares each token with noise from the unit frequencies: every partition runs through all its training tokens from the same
 start, and the parameters are averaged by tokens seen. Scoring takes the logarithm of the softmax over all units, in blocks of matrix products.
 
-The driver holds the ``head`` most frequent words and the parameters, both of a fixed size. Words beyond the head meet their counts in a join.
+The driver holds at most ``head`` words, the most frequent, and the parameters, both of a fixed size. Words beyond the head meet their counts in a join.
 
 Nulls: a null text counts as empty, one end token; null ids are carried and hashed as empty text. Repeated rows each count and get a row.
 Without training tokens every score is 0, as the base's is. An empty table gives no rows. Only the id and text
@@ -309,12 +309,28 @@ def train(
     return model
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
+    """The most frequent words, at most ``most``, in order; words of about equal count are all in or all out.
+
+    Counts are first summed up on a scale of sixteenths of powers of two, so that no more than ``most`` words reach the driver.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    number, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        number += r["n"]
+        if number > most:
+            break
+        least = r["step"]
+    found = counts.where(step >= least).collect() if least is not None else []
+    return sorted(((r["word"], r["c"]) for r in found), key=lambda w: (-w[1], w[0]))
+
+
 def fit(
     docs: DataFrame, counts: DataFrame, head: int = 100_000, n_words: int = 96, n_classes: int = 160, d: int = 16, positions: int = 3, seed: int = 0, **options
 ) -> Model:
     """Train on all of ``docs``, whose token counts are ``counts``."""
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
-    top = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(head).collect()]
+    top = most_frequent(counts, head)
     units = Units.choose(top, n_words, n_classes)
     units.totals = unit_totals(counts, units)
     rng = np.random.default_rng(seed)

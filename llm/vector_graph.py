@@ -377,10 +377,11 @@ def near_duplicates(
     valid = rows.where("key IS NOT NULL")
     nodes = stored(valid.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), one).select("id", "one.*", "copies", "key"), "vector-nodes")
     plain = nodes.select("id", "label", "dim", "vec", "copies")
-    queries = plain.orderBy(F.xxhash64("id"), "id").limit(audit_queries).collect()
+    number = max(1, plain.count())
+    queries = plain.where(F.pmod(F.xxhash64("id"), F.lit(number)) < audit_queries).collect()  # about that many, however many tasks there are
     truth = _exact(plain, queries, threshold) if queries else {}
-    for number in range(most_rounds):
-        found = stored(links(plain, threshold, shard_size << number, overlap + number, degree), "graph-links")
+    for turn in range(most_rounds):
+        found = stored(links(plain, threshold, shard_size << turn, overlap + turn, degree), "graph-links")
         listed = found.where("n = 0").select("a", "b").distinct()
         both = listed.unionByName(listed.select(F.col("b").alias("a"), F.col("a").alias("b")))
         weights = plain.select(F.col("id").alias("b"), "copies")

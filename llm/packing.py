@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import os
 from itertools import islice
-from math import erf, sqrt
 from unicodedata import is_normalized
 
 import numpy as np
@@ -27,12 +26,20 @@ from llm.common import stored, texts_of
 
 _CACHE = 800_000
 _CLOSING = ".,!?$%&*#;:"
-_DOTTED = "\u0130"  # lower-cases to a letter and a mark
-_LATIN = "\u0250"  # letters and digits below are such in every edition of the character tables
+# Letters and digits that are such in every edition of the character tables; U+0130 lower-cases to a letter and a mark.
+_ENDS = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and c != "\u0130")
 _LONG = 64
 _BUCKETS = 256
 _FLUSH = 1 << 22
-_SLICE = 12 << 20
+_SLICE = 16 << 20
+
+
+def _is_latin(text: str) -> bool:
+    """Whether all characters are below U+0100: then nothing can be composed."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 class Words:
@@ -77,10 +84,12 @@ class Words:
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of each word."""
         known = self.known
-        stems = [s if (s := w.rstrip(_CLOSING)) and s[-1] < _LATIN and s[-1].isalnum() and s[-1] != _DOTTED else w for w in words]
-        marks = [w[len(s) :] for w, s in zip(words, stems)]
-        found = self._fresh({p for p in stems if p not in known} | {p for p in set(marks) if p not in known})
-        out = [(known[s] if s in known else found[s]) + (known[m] if m in known else found[m]) for s, m in zip(stems, marks)]
+        stems = [s if (s := w.rstrip(_CLOSING)) and s[-1] in _ENDS else w for w in words]
+        marks = [w[len(s) :] if s is not w else "" for w, s in zip(words, stems)]
+        out = list(map(known.get, stems))
+        found = self._fresh({s for s, ids in zip(stems, out) if ids is None} | {m for m in set(marks) if m not in known})
+        ends = {m: found[m] if m in found else known[m] for m in set(marks)}
+        out = [(found[s] if ids is None else ids) + ends[m] if m else found[s] if ids is None else ids for s, m, ids in zip(stems, marks, out)]
         if len(known) + len(found) > _CACHE:
             known.clear()
             known[""] = b""
@@ -91,7 +100,7 @@ class Words:
         """All ids end to end, ``end`` after each text's, and where each text's stop."""
         plain = pa.array(texts, pa.large_string())
         lower = pc.ascii_lower(plain)
-        fits = ["<" not in t and (t.isascii() or (is_normalized("NFC", t) and is_normalized("NFC", x))) for t, x in zip(texts, lower.to_pylist())]
+        fits = ["<" not in t and (_is_latin(t) or (is_normalized("NFC", t) and is_normalized("NFC", lower[i].as_py()))) for i, t in enumerate(texts)]
         words = pc.ascii_split_whitespace(pc.if_else(pa.array(fits, pa.bool_()), lower, plain))
         stops = words.offsets.to_numpy()[1:].astype(np.int64)
         coded = words.flatten().dictionary_encode()
@@ -108,20 +117,23 @@ class Words:
         return pool[taken], ends[stops + np.arange(len(stops))].astype(np.int64)
 
 
-def projection(vocabulary: int, dims: int, seed: int = 0) -> np.ndarray:
-    """(vocabulary, _BUCKETS) is never built: bucket and sign of each id, and the projection of each bucket."""
+def projection(dims: int, seed: int = 0) -> np.ndarray:
+    """Projection of each bucket of token ids."""
     rng = np.random.default_rng(seed)
     return rng.standard_normal((_BUCKETS, dims))
 
 
-def cells(ids: np.ndarray, project: np.ndarray, bits: int) -> np.ndarray:
-    """Cell of a document's point: its hashed, signed, unit-length token counts, projected, by normal quantile in each dimension."""
+def cells(ids: np.ndarray, stops: np.ndarray, project: np.ndarray, bits: int) -> np.ndarray:
+    """Cells of documents' points: hashed, signed, unit-length token counts without the end, projected, by (about) normal quantile in each dimension."""
+    sizes = np.diff(stops, prepend=0)
     mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
     sign = 1.0 - 2.0 * ((mixed >> np.uint64(8)) & np.uint64(1)).astype(float)
-    counts = np.bincount((mixed % np.uint64(_BUCKETS)).astype(np.intp), sign, _BUCKETS)
-    norm = sqrt(counts @ counts)
-    point = counts @ project / norm if norm else np.zeros(project.shape[1])
-    return np.array([min(int((1 + erf(x / sqrt(2))) / 2 * (1 << bits)), (1 << bits) - 1) for x in point], np.int64)
+    sign[stops - 1] = 0
+    at = np.repeat(np.arange(len(stops)) * _BUCKETS, sizes) + (mixed % np.uint64(_BUCKETS)).astype(np.int64)
+    counts = np.bincount(at, sign, len(stops) * _BUCKETS).reshape(-1, _BUCKETS)
+    norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    points = counts @ project / np.maximum(norms, 1e-300)
+    return np.minimum((1 << bits) / (1 + np.exp(-1.702 * points)), (1 << bits) - 1).astype(np.int64)
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -160,7 +172,7 @@ def tokenised(docs: DataFrame, tokenizer_json: str, end_id: int = 1, dims: int =
     def run(batches):
         words = Words(shared.value)
         end = np.array([end_id], words.dtype).tobytes()
-        project = projection(words.tokenizer.get_vocab_size(), dims)
+        project = projection(dims)
         for batch in batches:
             texts, size, start = [], 0, 0
             for i, text in enumerate(texts_of(batch)):
@@ -169,7 +181,7 @@ def tokenised(docs: DataFrame, tokenizer_json: str, end_id: int = 1, dims: int =
                 if size > _SLICE or i + 1 == batch.num_rows:
                     ids, stops = words.encode(texts, end)
                     parts = np.split(ids, stops[:-1])
-                    keys = hilbert_keys(np.array([cells(p[:-1], project, bits) for p in parts]), bits)
+                    keys = hilbert_keys(cells(ids, stops, project, bits), bits)
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column("doc_id").slice(start, len(texts)),

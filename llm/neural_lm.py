@@ -347,6 +347,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches):
         m, part, number = shared.value, TaskContext.get().partitionId() << 40, 0
         for batch in batches:

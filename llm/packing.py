@@ -12,6 +12,7 @@ text columns are read, so further columns cannot clash.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from itertools import islice
 from unicodedata import is_normalized
 
@@ -31,7 +32,8 @@ _ENDS = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and c != "\u0
 _LONG = 64
 _BUCKETS = 256
 _FLUSH = 1 << 22
-_SLICE = 16 << 20
+_SLICE = 10 << 20
+_GROUP = 1 << 17
 
 
 def _is_latin(text: str) -> bool:
@@ -123,9 +125,23 @@ def projection(dims: int, seed: int = 0) -> np.ndarray:
     return rng.standard_normal((_BUCKETS, dims))
 
 
-def cells(ids: np.ndarray, stops: np.ndarray, project: np.ndarray, bits: int) -> np.ndarray:
+def _groups(parts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Documents in groups of about _GROUP ids."""
+    group, size = [], 0
+    for part in parts:
+        group.append(part)
+        size += len(part)
+        if size >= _GROUP:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def cells(parts: list[np.ndarray], project: np.ndarray, bits: int) -> np.ndarray:
     """Cells of documents' points: hashed, signed, unit-length token counts without the end, projected, by (about) normal quantile in each dimension."""
-    sizes = np.diff(stops, prepend=0)
+    ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
+    stops = np.cumsum(sizes)
     mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
     sign = 1.0 - 2.0 * ((mixed >> np.uint64(8)) & np.uint64(1)).astype(float)
     sign[stops - 1] = 0
@@ -181,7 +197,7 @@ def tokenised(docs: DataFrame, tokenizer_json: str, end_id: int = 1, dims: int =
                 if size > _SLICE or i + 1 == batch.num_rows:
                     ids, stops = words.encode(texts, end)
                     parts = np.split(ids, stops[:-1])
-                    keys = hilbert_keys(cells(ids, stops, project, bits), bits)
+                    keys = hilbert_keys(np.concatenate([cells(p, project, bits) for p in _groups(parts)]), bits)
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column("doc_id").slice(start, len(texts)),

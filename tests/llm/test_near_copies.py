@@ -1,0 +1,72 @@
+import random
+
+import corpus_pipeline
+import numpy as np
+
+from llm import near_copies as N
+from llm.simhash_dedup import simhash
+from tests.llm.test_simhash_dedup import brute_classes
+
+
+def brute_set(text):
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").translate({k: " " for k in (9, 10, 11, 12, 13)}).split(" ") if w]
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
+
+
+def bits(text):
+    return simhash(text.encode()) & (1 << 64) - 1
+
+
+def brute_near(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def copies(rng, groups, largest):
+    """Texts and copies of them with some words changed, far over two SimHash bits away."""
+    texts = []
+    for g in range(groups):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 5, 30, 200]))]
+        for _ in range(rng.randrange(1, largest)):
+            words = list(base)
+            for _ in range(rng.randrange(1 + len(words) // 40)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(99999)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_classes_match_brute_force_on_jaccard(spark):
+    rng = random.Random(4)
+    chain = [f"c{i}" for i in range(300)]
+    texts = [None, "", " \t", "One", "one", *copies(rng, 25, 6), *(" ".join(chain[i : i + 200]) for i in range(0, 100, 9))]
+    hot = [f"h{i}" for i in range(120)]
+    texts += [" ".join(f"y{rng.randrange(99)}" if rng.random() < 0.03 else w for w in hot) for _ in range(60)]
+    sets = [brute_set(t) for t in texts]
+    want = brute_classes(list(range(len(texts))), lambda a, b: brute_near(sets[a], sets[b]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for pair_limit in (2, 8):
+        got = {r.doc_id: r.component_id for r in N.near_copies(rows.selectExpr("*", "1 AS key", "2 AS size"), pair_limit).collect()}
+        assert got == want
+    assert N.near_copies(rows.limit(0)).count() == 0
+
+
+def test_ids_null_and_repeated(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, base + " tail"), (4, base), (4, "other words"), (2, base + " end"), (None, "alone here")]
+    got = N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 2), (2, 2), (4, 2), (4, 4)]
+
+
+def test_bands_at_the_least_similarity():
+    rng = np.random.default_rng(5)
+    for n in (9, 45, 900):
+        for _ in range(300):
+            both = rng.integers(0, 1 << 64, n, np.uint64)
+            a, b = both[n // 9 :], both[: n - n // 9]  # 7 ninths shared, 0.78
+            assert (N.bands(np.sort(a)) == N.bands(np.sort(b))).any()
+
+
+def test_stage_keeps_one_of_near_copies_over_two_bits_apart(spark):
+    texts = [" ".join(f"w{i}" for i in range(200)), " ".join("changed" if i in (20, 90, 150) else f"w{i}" for i in range(200)), "something else entirely"]
+    assert (bits(texts[0]) ^ bits(texts[1])).bit_count() > 2
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()} == {0, 2}

@@ -4,10 +4,10 @@ Three base kinds are patterns alone: assign, access, hex. Further kinds are repo
 decoded and parsed:
 
 * jwt: three base64url parts; the first two are JSON objects, the header names its algorithm, and the signature has
-  a length that algorithm gives.
+  a length that algorithm gives. A full stop, dash or underscore may stand before or after it, but no fourth part.
 * pem: a private key between BEGIN and END lines whose base64 body parses as a key or, with an encryption header, as whole cipher blocks.
 * der: a bare base64 or hex run that decodes to a private key: nested lengths all agree and the fields are those of a
-  PKCS#1, PKCS#8, encrypted PKCS#8 or SEC 1 key.
+  PKCS#1, DSA, PKCS#8, encrypted PKCS#8 or SEC 1 key.
 * ssh: a bare base64 run that decodes to an OpenSSH private key container whose nested lengths agree.
 
 Offsets are code points, end exclusive. Nulls: a null text counts as empty: no spans. Repeated rows each get a row; null ids are
@@ -35,7 +35,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-_JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*+)(?!\.[A-Za-z0-9_-])")
+# An opening brace, then a quote or white space, in base64.
+_HEADER = re.compile(r"(?<![A-Za-z0-9])e(?:y[A-DI-L]|w[k-r0-3])")
 _PEM = re.compile(
     r"-----BEGIN ((?:[A-Z0-9]{1,12} ){0,3})PRIVATE KEY-----((?:\s*[A-Za-z-]{1,40}: [^\r\n\\]{0,200}){0,4})((?:[A-Za-z0-9+/=\s]|\\[rn])*)-----END \1PRIVATE KEY-----"
 )
@@ -45,6 +47,8 @@ _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){40,}(?![0-9A-Fa-f])"
 _SIGNATURES = {"none": 0, "HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64} | dict.fromkeys(
     ("RS256", "RS384", "RS512", "PS256", "PS384", "PS512")
 )
+#: Characters of signatures of these algorithms and of moduli from 1024 to 4096 bits.
+_SIGNATURE_CHARS = sorted({(n * 4 + 2) // 3 for n in (0, 32, 48, 64, 96, 128, 132, 256, 384, 512)})
 _INTEGER, _OCTETS, _OID, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
 _SSH_MAGIC = b"openssh-key-v1\0"
 
@@ -97,6 +101,8 @@ def is_private_key(data: bytes) -> bool:
     if tags[0] == _INTEGER and items[0][1] in (b"\0", b"\1"):
         if len(tags) >= 9 and set(tags[:9]) == {_INTEGER}:
             return len(items[1][1]) >= 64 and len(items[3][1]) >= 32
+        if len(tags) == 6 and set(tags) == {_INTEGER}:  # DSA: p, q, g, y, x
+            return items[0][1] == b"\0" and len(items[1][1]) >= 64 and 20 <= len(items[2][1]) <= 33 and 0 < len(items[5][1]) <= len(items[2][1])
         if tags[1:3] == [_SEQUENCE, _OCTETS]:
             return _algorithm(items[1][1]) and len(items[2][1]) >= 16
         return items[0][1] == b"\1" and len(tags) >= 2 and tags[1] == _OCTETS and len(items[1][1]) >= 20 and set(tags[2:]) <= {0xA0, 0xA1}
@@ -149,15 +155,31 @@ def is_signed_token(header: str, payload: str, signature: str) -> bool:
     return data is not None and (len(data) >= 128 if want is None else len(data) == want)
 
 
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of signed tokens; dashes and underscores around one are in its alphabet, so decoding tells what is part of it."""
+    at = 0
+    while m := _JWT.search(text, at):
+        at = m.end(1)  # the second part may be a token's first
+        if _object(m[2]) is None:
+            continue
+        least = len(m[3].rstrip("-_"))
+        signatures = [m[3][:n] for n in (*_SIGNATURE_CHARS, len(m[3]), least) if least <= n <= len(m[3])]
+        for h in _HEADER.finditer(m[1]):
+            header = m[1][h.start() :]
+            if _object(header) and (found := next((s for s in signatures if is_signed_token(header, m[2], s)), None)) is not None:
+                yield m.start() + h.start(), m.start(3) + len(found)
+                at = m.end()
+                break
+
+
 def _is_key(data: bytes | None) -> bool:
     return data is not None and (is_private_key(data) or is_ssh_key(data))
 
 
 def _confirmed(text: str) -> Iterator[tuple[int, str, int]]:
     if "." in text:
-        for m in _JWT.finditer(text):
-            if is_signed_token(*m.groups()):
-                yield m.start(), "jwt", m.end()
+        for start, end in _tokens(text):
+            yield start, "jwt", end
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
             data = unbase64(re.sub(r"\s|\\[rn]", "", m[3]))

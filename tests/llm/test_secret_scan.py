@@ -57,6 +57,25 @@ def test_confirmed_kinds():
     assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{body[:-20]}\n-----END RSA PRIVATE KEY-----") == []
 
 
+def test_tokens_beside_full_stops_and_dashes():
+    for token in (jwt({"alg": "HS256"}, 32), jwt({"alg": "RS256"}, 256), jwt({"alg": "none"}, 0)):
+        for before in ("", "The leaked one is ", "so ...", "see it.", "longer-words.", "--", "_", "id-", "extra_", "eyJ-"):
+            for after in ("", ".", "...", ". Next", "--", "_", "-.", ".\n", ", "):
+                found = [(s, e) for s, k, e in S.spans(before + token + after) if k == "jwt"]
+                assert found == [(len(before), len(before + token))], (before, token, after)
+        assert kinds(token + ".abc") == kinds(token + "._") == kinds("x" + token) == []
+    assert S.redact("It is " + jwt({"alg": "HS256"}, 32) + ".") == "It is [SECRET]."
+
+
+def test_dsa_keys():
+    key = der(0x30, der(2, b"\0"), number(128), number(20), number(128), number(128), number(19))
+    body = "\n".join(re.findall(".{1,64}", b64(key)))
+    assert kinds(f"-----BEGIN DSA PRIVATE KEY-----\n{body}\n-----END DSA PRIVATE KEY-----") == ["pem"]
+    assert kinds(f"x {b64(key)} y") == kinds(f"x {key.hex()} y") == ["der"]
+    for wrong in (key[:-1], der(0x30, der(2, b"\0"), *(number(19) for _ in range(5))), der(0x30, der(2, b"\1"), number(128), number(20), number(128), number(128), number(19))):
+        assert kinds(f"x {b64(wrong)} y") == []
+
+
 def plain(text):
     """The base kinds, read letter by letter from their statement."""
     found = []

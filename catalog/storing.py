@@ -228,7 +228,7 @@ _SAFE = "replace(replace(replace(content, '&', '\\u0026'), '<', '\\u003c'), '>',
     over_blocks(f"SELECT operation_id, block_id, block_type, platform, {_Z.format('created_at')} AS created_at, {_SAFE} AS content, html AS html_preview FROM blocks WHERE strlen(html) <= 32767"),
 )
 def h2(spark, sf):
-    return reports.block_sheet(site_blocks(spark, sf).filter(F.octet_length("html") <= 32767))
+    return reports.block_sheet(site_blocks(spark, sf))
 
 
 @query(

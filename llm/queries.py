@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, exact_dedup, line_dedup, neural_lm, packing, quality_cnn, repeat_dedup, secret_scan, simhash_dedup, vector_graph
+from llm import byte_bpe, exact_dedup, line_dedup, neural_lm, packing, quality_cnn, repeat_dedup, secret_scan, simhash_dedup, vector_graph, whitening
 from llm.common import table
 from llm.registry import query
 
@@ -105,3 +105,9 @@ def op6(spark, sf):
     found = repeat_dedup.dedup_repeats(table(spark, sf, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_whitening")
+def op11(spark, sf):
+    found = whitening.whitened(table(spark, sf, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, exact_dedup, line_dedup, neural_lm, packing, quality_cnn, repeat_dedup, secret_scan, simhash_dedup, vector_graph, whitening
+from llm import byte_bpe, exact_dedup, line_dedup, neural_lm, packing, quality_cnn, repeat_dedup, secret_scan, simhash_dedup, spelling, vector_graph, whitening
 from llm.common import table
 from llm.registry import query
 
@@ -111,3 +111,8 @@ def op6(spark, sf):
 def op11(spark, sf):
     found = whitening.whitened(table(spark, sf, "embeddings"))
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query("op12_spelling")
+def op12(spark, sf):
+    return spelling.variants(table(spark, sf, "documents"))

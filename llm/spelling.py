@@ -9,7 +9,7 @@ the node. Each round joins the one-edit states with the edges of their next leve
   share a node, and no state ever fans out at the root. A pair of one length is sought from its smaller word, other pairs from the longer one, so each is found once.
 * Below an edit all must match, so the levels there are walked by edges of 1, 2, 4, ... characters: a rest of R characters takes one edge for each bit of R, the largest first. Edges
   and states with the same number of bits meet in one round; rounds grow with the logarithm of the length of words, and each edge is shuffled in one round only.
-* A node is the polynomial hash of its prefix modulo 2 ** 61 - 1. Found pairs are checked on the words themselves; equal hashes cannot lose a pair, since they merge nodes, never part them.
+* A node is the polynomial hash of its prefix modulo 2 ** 64. Found pairs are checked on the words themselves; equal hashes cannot lose a pair, since they merge nodes, never part them.
 
 A word has at most (letters of the alphabet) x (2 x length + 1) neighbours, so no group of words is unbounded; joins are plain shuffled ones, which adaptive execution splits at hot nodes.
 
@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,8 +35,9 @@ _RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _PIECE = 1 << 20
 _KEPT = 200_000
 _FLUSH = 50_000
-_PRIME = (1 << 61) - 1
-_BASE = 0x0B4C_93D1_57E6_2A8F
+_CELLS = 1 << 20
+_LIST = pa.list_(pa.int64())
+_BASE = 0x9B4C_93D1_57E6_2A8D
 _STARTS = (0x1234_5678_9ABC_DEF1, 0x0FED_CBA9_8765_4321)  # roots of the forward and the backward trie
 
 
@@ -85,75 +87,101 @@ def _batch(names: tuple[str, ...], kinds: tuple[pa.DataType, ...], rows) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list(names))
 
 
-class Path:
-    """Nodes and edges of one word in one trie; ``first`` is the depth from which edits may happen."""
+def _wide(value: int) -> np.uint64:
+    return np.uint64(value & (1 << 64) - 1)
 
-    def __init__(self, word: str, backward: bool):
-        self.codes = [ord(c) for c in (reversed(word) if backward else word)]
-        self.first = len(word) - len(word) // 2 if backward else len(word) // 2
+
+class Paths:
+    """Nodes and edges of words of one length in one trie; ``first`` is the depth from which edits may happen."""
+
+    def __init__(self, codes: np.ndarray, backward: bool):
+        self.codes = codes[:, ::-1] if backward else codes
+        self.length = codes.shape[1]
+        self.first = self.length - self.length // 2 if backward else self.length // 2
         self.backward = backward
-        node = _STARTS[backward]
-        self.nodes = [node]
-        for code in self.codes:
-            node = (node * _BASE + code) % _PRIME
-            self.nodes.append(node)
-
-    def edge(self, depth: int) -> tuple[int, int, int]:
-        """Step, length and bits of the edge that the rest of the word from a depth takes next."""
-        rest = len(self.codes) - depth
-        level = rest.bit_length() - 1
-        own = (self.nodes[depth + (1 << level)] - self.nodes[depth] * pow(_BASE, 1 << level, _PRIME)) % _PRIME
-        return (own * 67 + level) % _PRIME, 1 << level, rest.bit_count()
-
-    def steps(self) -> dict[int, list[int]]:
-        """For each depth from the first, the steps of the rest of the word."""
-        out = {len(self.codes): []}
-        for depth in range(len(self.codes) - 1, self.first - 1, -1):
-            step, length, _ = self.edge(depth)
-            out[depth] = [step, *out[depth + length]]
-        return out
-
-    def is_last_of_equals(self, depth: int) -> bool:
+        self.nodes = np.empty((len(codes), self.length + 1), np.uint64)
+        self.nodes[:, 0] = _wide(_STARTS[backward])
+        for depth in range(self.length):
+            self.nodes[:, depth + 1] = self.nodes[:, depth] * _wide(_BASE) + self.codes[:, depth]
+
+    def edge(self, depth: int) -> tuple[np.ndarray, int]:
+        """Steps and length of the edges that the rests of the words from a depth take next."""
+        level = (self.length - depth).bit_length() - 1
+        own = self.nodes[:, depth + (1 << level)] - self.nodes[:, depth] * _wide(pow(_BASE, 1 << level, 1 << 64))
+        return own * np.uint64(67) + np.uint64(level), 1 << level
+
+    def path(self, depth: int) -> np.ndarray:
+        """Steps of the rests of the words from a depth, a column for each."""
+        columns = []
+        while depth < self.length:
+            step, length = self.edge(depth)
+            columns.append(step)
+            depth += length
+        return np.stack(columns, axis=1) if columns else np.empty((len(self.codes), 0), np.uint64)
+
+    def is_last_of_equals(self, depth: int) -> np.ndarray:
         """Whether the character is, in reading order, the last of a row of equal ones: deleting any of these gives the same word."""
         other = depth - 1 if self.backward else depth + 1
-        return not 0 <= other < len(self.codes) or self.codes[other] != self.codes[depth]
+        return self.codes[:, other] != self.codes[:, depth] if 0 <= other < self.length else np.ones(len(self.codes), bool)
+
 
+def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, code points by row) of the words of each length, a bounded number of characters at a time."""
+    lengths = np.array([len(w) for w in words])
+    for length in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == length)
+        some = max(1, _CELLS // length)
+        for start in range(0, len(rows), some):
+            part = rows[start : start + some]
+            text = "".join([words[i] for i in part]).encode("utf-32-le")
+            yield part, np.frombuffer(text, "<u4").reshape(-1, length).astype(np.uint64)
 
-def word_id(word: str) -> int:
-    return Path(word, False).nodes[-1]
 
+def _column(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    whole = np.concatenate(parts)
+    if whole.dtype == np.uint64:
+        whole = whole.view(np.int64)
+    if whole.ndim == 2:
+        offsets = np.arange(len(whole) + 1, dtype=np.int32) * whole.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(whole.ravel()))
+    return pa.array(whole).cast(kind)
 
-def _paths(words: DataFrame, rows_of: Callable[[int, Path], Iterator[tuple]], names: tuple[str, ...], kinds: tuple[pa.DataType, ...], schema: str) -> DataFrame:
-    """Rows made from each word's forward and backward path."""
+
+def _paths(words: DataFrame, rows_of: Callable[[np.ndarray, Paths], Iterator[tuple]], schema: dict[str, pa.DataType]) -> DataFrame:
+    """Rows made from the words' ids and forward and backward paths; ``rows_of`` gives arrays of equal length."""
 
     def run(batches):
-        rows = []
+        parts, n = [], 0
         for batch in batches:
-            for word in batch.column("word").to_pylist():
-                forward, backward = Path(word, False), Path(word, True)
-                for path in (forward, backward):
-                    for row in rows_of(forward.nodes[-1], path):
-                        rows.append(row)
-                        if len(rows) >= _FLUSH:
-                            yield _batch(names, kinds, rows)
-                            rows = []
-        if rows:
-            yield _batch(names, kinds, rows)
+            for _, codes in by_length(batch.column("word").to_pylist()):
+                forward = Paths(codes, False)
+                for path in (forward, Paths(codes, True)):
+                    for arrays in rows_of(forward.nodes[:, -1], path):
+                        parts.append(arrays)
+                        n += len(arrays[0])
+                        if n >= _FLUSH:
+                            yield made(parts)
+                            parts, n = [], 0
+        if n:
+            yield made(parts)
+
+    def made(parts):
+        return pa.RecordBatch.from_arrays([_column(c, k) for c, k in zip(zip(*parts), schema.values())], names=list(schema))
 
-    return words.select("word").mapInArrow(run, schema)
+    sql = {pa.int64(): "long", pa.int32(): "int", _LIST: "array<long>"}
+    return words.select("word").mapInArrow(run, ", ".join(f"{name} {sql[kind]}" for name, kind in schema.items()))
 
 
 def edges(words: DataFrame, bits: int) -> DataFrame:
     """(node, step, child), each once: the edges that rests of words take when their length has so many bits."""
 
     def rows_of(_, path):
-        for depth in range(path.first, len(path.codes)):
-            step, length, of = path.edge(depth)
-            if of == bits:
-                yield path.nodes[depth], step, path.nodes[depth + length]
+        for depth in range(path.first, path.length):
+            if (path.length - depth).bit_count() == bits:
+                step, length = path.edge(depth)
+                yield path.nodes[:, depth], step, path.nodes[:, depth + length]
 
-    kinds = (pa.int64(),) * 3
-    made = _paths(words, rows_of, ("node", "step", "child"), kinds, "node long, step long, child long")
+    made = _paths(words, rows_of, {"node": pa.int64(), "step": pa.int64(), "child": pa.int64()})
     return made.groupBy("node", "step").agg(F.min("child").alias("child"))  # the child follows from node and step
 
 
@@ -161,24 +189,23 @@ def forks(words: DataFrame) -> DataFrame:
     """(node, code, child), each once: the edges of one character at which a word may change."""
 
     def rows_of(_, path):
-        for depth in range(path.first, len(path.codes)):
-            yield path.nodes[depth], path.codes[depth], path.nodes[depth + 1]
+        for depth in range(path.first, path.length):
+            yield path.nodes[:, depth], path.codes[:, depth], path.nodes[:, depth + 1]
 
-    made = _paths(words, rows_of, ("node", "code", "child"), (pa.int64(), pa.int32(), pa.int64()), "node long, code int, child long")
-    return made.distinct()
+    return _paths(words, rows_of, {"node": pa.int64(), "code": pa.int32(), "child": pa.int64()}).distinct()
 
 
 def _starts(words: DataFrame, bits: int, deleted: bool) -> DataFrame:
     """(word, position, node, code, path): states about to be edited whose rest, without the character at ``position``, has so many bits in its length."""
 
     def rows_of(word, path):
-        steps = path.steps()
-        for depth in range(path.first, len(path.codes)):
-            if (len(path.codes) - depth - 1).bit_count() == bits and (not deleted or path.is_last_of_equals(depth)):
-                yield word, depth, path.nodes[depth], path.codes[depth], steps[depth + 1]
+        for depth in range(path.first, path.length):
+            if (path.length - depth - 1).bit_count() == bits:
+                has = path.is_last_of_equals(depth) if deleted else slice(None)
+                node = path.nodes[has, depth]
+                yield word[has], np.full(len(node), depth, np.int32), node, path.codes[has, depth], path.path(depth + 1)[has]
 
-    names, kinds = ("word", "position", "node", "code", "path"), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-    return _paths(words, rows_of, names, kinds, "word long, position int, node long, code int, path array<long>")
+    return _paths(words, rows_of, {"word": pa.int64(), "position": pa.int32(), "node": pa.int64(), "code": pa.int32(), "path": _LIST})
 
 
 def edited(words: DataFrame, bits: int, changes: DataFrame) -> DataFrame:
@@ -207,9 +234,9 @@ def neighbours(words: DataFrame) -> DataFrame:
     ended = ended if states is None else ended.unionByName(states.select("word", "node"))
 
     def ends_of(word, path):
-        yield word, path.nodes[-1]
+        yield word, path.nodes[:, -1]
 
-    ends = _paths(words, ends_of, ("other", "end"), (pa.int64(),) * 2, "other long, end long")
+    ends = _paths(words, ends_of, {"other": pa.int64(), "end": pa.int64()})
     pairs = ended.join(ends.hint("merge"), F.col("node") == F.col("end")).select("word", "other").distinct()
     named = _named(words)
     left = named.select(F.col("id").alias("word"), F.col("word").alias("a"), F.col("n").alias("a_n"))
@@ -223,8 +250,10 @@ def _named(words: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = pa.array([word_id(w) for w in batch.column("word").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, batch.column("word"), batch.column("n")], names=["id", "word", "n"])
+            for rows, codes in by_length(batch.column("word").to_pylist()):
+                ids = pa.array(Paths(codes, False).nodes[:, -1].copy().view(np.int64))
+                some = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([ids, some.column("word"), some.column("n")], names=["id", "word", "n"])
 
     return words.select("word", "n").mapInArrow(run, "id long, word string, n long")
 

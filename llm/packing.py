@@ -23,16 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from llm.common import stored, texts_of
+from llm.common import release_memory, stored, texts_of
 
-_CACHE = 800_000
+_CACHE = 600_000
 _CLOSING = ".,!?$%&*#;:"
 # Letters and digits that are such in every edition of the character tables; U+0130 lower-cases to a letter and a mark.
 _ENDS = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and c != "\u0130")
 _LONG = 64
 _BUCKETS = 256
 _FLUSH = 1 << 22
-_SLICE = 10 << 20
+SLICE = 4 << 20
 _GROUP = 1 << 17
 
 
@@ -119,6 +119,17 @@ class Words:
         return pool[taken], ends[stops + np.arange(len(stops))].astype(np.int64)
 
 
+_OF_WORKER: dict[str, Words] = {}
+
+
+def words_of(tokenizer_json: str) -> Words:
+    """The encoder of a worker process, made once; only the last tokenizer's is kept."""
+    if tokenizer_json not in _OF_WORKER:
+        _OF_WORKER.clear()
+        _OF_WORKER[tokenizer_json] = Words(tokenizer_json)
+    return _OF_WORKER[tokenizer_json]
+
+
 def projection(dims: int, seed: int = 0) -> np.ndarray:
     """Projection of each bucket of token ids."""
     rng = np.random.default_rng(seed)
@@ -186,7 +197,7 @@ def tokenised(docs: DataFrame, tokenizer_json: str, end_id: int = 1, dims: int =
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
-        words = Words(shared.value)
+        words = words_of(shared.value)
         end = np.array([end_id], words.dtype).tobytes()
         project = projection(dims)
         for batch in batches:
@@ -194,7 +205,7 @@ def tokenised(docs: DataFrame, tokenizer_json: str, end_id: int = 1, dims: int =
             for i, text in enumerate(texts_of(batch)):
                 texts.append(text)
                 size += len(text)
-                if size > _SLICE or i + 1 == batch.num_rows:
+                if size > SLICE or i + 1 == batch.num_rows:
                     ids, stops = words.encode(texts, end)
                     parts = np.split(ids, stops[:-1])
                     keys = hilbert_keys(np.concatenate([cells(p, project, bits) for p in _groups(parts)]), bits)
@@ -208,6 +219,8 @@ def tokenised(docs: DataFrame, tokenizer_json: str, end_id: int = 1, dims: int =
                         names=["doc_id", "key", "n", "ids"],
                     )
                     texts, size, start = [], 0, i + 1
+                    del ids, parts
+                    release_memory()
 
     return rows.mapInArrow(run, "doc_id long, key long, n long, ids binary")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import byte_bpe, exact_dedup, line_dedup, neural_lm, packing, quality_cnn, repeat_dedup, secret_scan, simhash_dedup, spelling, vector_graph, whitening
+from llm import best_fit, byte_bpe, exact_dedup, line_dedup, neural_lm, packing, quality_cnn, repeat_dedup, secret_scan, simhash_dedup, spelling, vector_graph, whitening
 from llm.common import table
 from llm.registry import query
 
@@ -116,3 +116,9 @@ def op11(spark, sf):
 @query("op12_spelling")
 def op12(spark, sf):
     return spelling.variants(table(spark, sf, "documents"))
+
+
+@query("op13_best_fit_packing")
+def op13(spark, sf):
+    found = best_fit.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. All but the last return the columns of documents; a
 document is a row, and rows that share a doc_id stand or fall together in the near-duplicate stage.
+
+In every stage a null text counts as empty, other columns may be null and are carried, texts of any length are read whole, columns
+beside those of documents are dropped, and an empty table gives no rows. Ties: of equal texts the row of the largest doc_id stays, of near copies that of the smallest.
 """
 
 from __future__ import annotations
@@ -9,27 +12,30 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import exact_dedup, near_copies, packing, quality_cnn, secret_scan
+from llm import exact_dedup, packing, quality_cnn, secret_scan, simhash_dedup
 from llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on this table's labelled rows open to learning, scores at 0.7 or more."""
+    """Documents that the classifier, trained on this table's labelled rows open to learning, scores at 0.7 or more; empty texts have a score like others."""
     docs = docs.select(*COLUMNS)
     network = quality_cnn.fit(docs, table(spark, sf_dir, "labels"))
     return quality_cnn.score(docs, network, keep=COLUMNS).where("score >= 0.7").select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text, that of the largest doc_id."""
+    """One row of each text, that of the largest doc_id; null and empty texts are one text."""
     return exact_dedup.deduplicated(exact_dedup.DigestIndex.temporary(spark), docs.select(*COLUMNS))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    classes = near_copies.near_copies(docs)
+    """The document of the least doc_id of each group: fingerprints of three-word shingles, linked at two differing bits or fewer.
+
+    Rows with null ids are a group's document only where all ids of the group are null.
+    """
+    classes = simhash_dedup.near_duplicates(docs, max_distance=2, shingle=3)
     stays = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
     return docs.select(*COLUMNS).join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from catalog.base import MARKERS, SITE, at, over_blocks, query, site, sql_string
+from catalog.base import MARKERS, ORACLES, SITE, at, over_blocks, pages, query, site, site_blocks, site_operations, sql_string
 from pagestrata.operators import patterns
 from pagestrata.operators.templates import template_table
 from pagestrata.plans.parse import page_blocks
 from pagestrata.rules import MARKERS as MARKER_RULES
+from pagestrata.session import work_dir
+from pagestrata.sources import files
+from pagestrata.sources.pages import read_page_files
 
 _MARKER_ROWS = ", ".join(f"({sql_string(p)}, {sql_string(m)})" for p, markers in MARKERS.items() for m in markers)
 
@@ -40,3 +45,68 @@ def f13_table(spark, sf):
     blocks = page_blocks(site(spark, sf), at("page_id + 1"), templates=())
     named = patterns.relabelled(blocks, patterns.template_steps(template_table(spark))).where("block_type = 'content'")
     return named.select("block_id", *(F.get_json_object("content", f"$.{k}").alias(k) for k in ("matched_pattern", "template_name")))
+
+
+# -- files -------------------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    return f"{work_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+_KEY = "translate(regexp_replace(regexp_replace(url, '^http://', ''), '^https://', ''), '/\\:*?\"<>|', '_________')"
+
+
+@query("a2_page_files_written", f"SELECT {_KEY} || '.' || CAST(page_id AS VARCHAR) || '.html' AS path, CAST(strlen(html) AS BIGINT) AS bytes, md5(html) AS checksum FROM pages")
+def a2_written(spark, sf):
+    """One file per page, written by tasks, published together, and read again."""
+    folder = _folder(spark)
+    files.write_page_files(pages(spark, sf), folder)
+    return files.read_files(spark, folder).select("path", "bytes", F.md5("body").alias("checksum"))
+
+
+@query("a1_saved_page_files", f"SELECT {_KEY} || '.' || CAST(page_id AS VARCHAR) || '.html' AS name, md5(html) AS checksum FROM pages")
+def a1_saved(spark, sf):
+    """Saved page files as a source of pages."""
+    folder = _folder(spark)
+    files.write_page_files(pages(spark, sf), folder)
+    return read_page_files(spark, folder).select(F.element_at(F.split("url", "/"), -1).alias("name"), F.md5("html").alias("checksum"))
+
+
+_PATH = "'blocks/' || operation_id || '/' || block_type || '_' || block_id"
+_CREATED = "strftime(created_at, '%Y-%m-%dT%H:%M:%SZ')"
+
+
+@query(
+    "a7_block_files_written",
+    over_blocks(f"""SELECT {_PATH} || '.html' AS path, md5(html) AS checksum, NULL AS id, NULL AS operation_id, NULL AS block_type, NULL AS platform, NULL AS created_at, NULL AS template_name, NULL AS version FROM blocks
+      UNION ALL SELECT {_PATH} || '_metadata.json', NULL, block_id, operation_id, block_type, platform, {_CREATED}, json_extract_string(content, '$.template_name'),
+        json_extract_string(content, '$.version') FROM blocks"""),
+)
+def a7_written(spark, sf):
+    """Both files of every block as read from disk: the markup's checksum, the facts in the metadata."""
+    folder = _folder(spark)
+    files.save_block_files(site_blocks(spark, sf), folder)
+    found = files.read_files(spark, folder)
+    is_html = F.endswith("path", F.lit(".html"))
+    paths = {**{k: k for k in ("id", "operation_id", "block_type", "platform", "created_at")}, "template_name": "content.template_name", "version": "content.version"}
+    facts = [F.when(~is_html, F.get_json_object("body", f"$.{path}")).alias(name) for name, path in paths.items()]
+    return found.select("path", F.when(is_html, F.md5("body")).alias("checksum"), *facts)
+
+
+@query(
+    "h12_bundles_written",
+    f"""WITH page AS ({ORACLES['h9_summary_page']}), {over_blocks('').strip().removeprefix('WITH')}
+      SELECT 'blocks/' || operation_id || '/blocks_summary.html' AS path, md5(string_agg(text, '' ORDER BY section, platform, chunk_no)) AS checksum, count(*) - count(*) AS other_files
+      FROM page GROUP BY operation_id
+      UNION ALL SELECT 'blocks/' || operation_id, NULL, 2 * count(*) FROM blocks GROUP BY operation_id""",
+)
+def h12_written(spark, sf):
+    """Every operation's folder on disk: the checksum of its summary document, the number of its other files."""
+    folder = _folder(spark)
+    files.write_bundles(site_operations(spark, sf), site_blocks(spark, sf), folder)
+    found = files.read_files(spark, folder)
+    is_summary = F.endswith("path", F.lit("/blocks_summary.html"))
+    summaries = found.where(is_summary).select("path", F.md5("body").alias("checksum"), F.lit(0).cast("long").alias("other_files"))
+    others = found.where(~is_summary).groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path")).agg(F.count("*").alias("other_files"))
+    return summaries.unionByName(others.select("path", F.lit(None).cast("string").alias("checksum"), "other_files"))

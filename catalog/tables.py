@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from catalog.base import MARKERS, ORACLES, SITE, at, over_blocks, pages, query, site, site_blocks, site_operations, sql_string
+from catalog.base import MARKERS, ORACLES, SITE, STATUS, at, over_blocks, pages, query, site, site_blocks, site_operations, sql_string, status_log
 from pagestrata.operators import patterns
 from pagestrata.operators.templates import template_table
 from pagestrata.plans.parse import page_blocks
@@ -14,6 +15,7 @@ from pagestrata.rules import MARKERS as MARKER_RULES
 from pagestrata.session import work_dir
 from pagestrata.sources import files
 from pagestrata.sources.pages import read_page_files
+from pagestrata.streaming import flow, ingest
 
 _MARKER_ROWS = ", ".join(f"({sql_string(p)}, {sql_string(m)})" for p, markers in MARKERS.items() for m in markers)
 
@@ -110,3 +112,65 @@ def h12_written(spark, sf):
     summaries = found.where(is_summary).select("path", F.md5("body").alias("checksum"), F.lit(0).cast("long").alias("other_files"))
     others = found.where(~is_summary).groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path")).agg(F.count("*").alias("other_files"))
     return summaries.unionByName(others.select("path", F.lit(None).cast("string").alias("checksum"), "other_files"))
+
+
+# -- streams -----------------------------------------------------------------------
+
+
+@query(
+    "j3_ingested_tables",
+    over_blocks("""SELECT 'blocks' AS table_name, platform AS name, block_type AS kind, count(*) AS n FROM blocks GROUP BY platform, block_type
+      UNION ALL SELECT 'artefacts', platform, kind, count(*) FROM blocks, (VALUES ('html'), ('metadata')) k(kind) GROUP BY platform, kind
+      UNION ALL SELECT 'operations', platform, 'completed', count(*) FROM facts GROUP BY platform"""),
+)
+def j3_tables(spark, sf):
+    """All tables of the site pages as a stream ingested in one reading: rows by platform and kind."""
+    out = _folder(spark)
+    site(spark, sf).write.parquet(f"{out}/pages")
+    stream = ingest.page_stream(spark, f"{out}/pages", max_files=4)
+    ingest.ingest_tables(stream, f"{out}/site", f"{out}/log", at("page_id + 1")).awaitTermination()
+    operations, blocks, artefacts = (ingest.stored_table(spark, f"{out}/site", t) for t in ("operations", "blocks", "artefacts"))
+    kinds = artefacts.join(blocks.select("block_id", "platform"), "block_id")
+    rows = [("blocks", blocks, "block_type"), ("artefacts", kinds, "kind"), ("operations", operations, "status")]
+    made = [r.groupBy(F.col("platform").alias("name"), F.col(k).alias("kind")).agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "name", "kind", "n") for t, r, k in rows]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query(
+    "j1_ingested_links",
+    f"""WITH {SITE}, hrefs AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM site WHERE page_id % 6 = 4)
+    SELECT DISTINCT md5(url || '|' || CAST(page_id AS VARCHAR)) AS operation_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS link
+    FROM hrefs WHERE href <> '' AND NOT starts_with(href, '#')""",
+)
+def j1_links(spark, sf):
+    """Links that ingest stores, each address once per operation, of pages of an unknown platform too."""
+    out = _folder(spark)
+    some = site(spark, sf).where("page_id % 6 = 4")
+    ingest.store_batch(some, 0, out, at("page_id + 1"))
+    return ingest.stored_table(spark, out, "links").select("operation_id", F.col("url").alias("link"))
+
+
+_STEPS = f"""WITH {STATUS}, steps AS (SELECT operation_id, event_id, ts, lag(status) OVER w AS before, lead(ts) OVER w AS next, status
+      FROM status_log WINDOW w AS (PARTITION BY operation_id ORDER BY ts, event_id))"""
+
+
+@query(
+    "j2_status_flow",
+    f"""{_STEPS} SELECT operation_id, 'step' AS kind, event_id, before, status, coalesce((before IS NULL AND status = 'pending') OR before = status
+      OR (before = 'pending' AND status = 'processing') OR (before = 'processing' AND status IN ('completed', 'error')), false) AS allowed FROM steps
+    UNION ALL SELECT operation_id, 'timeout', NULL, status, 'error', false FROM steps
+      WHERE status IN ('pending', 'processing') AND (next IS NULL OR next > ts + INTERVAL 12 HOUR)""",
+)
+def j2_flow(spark, sf):
+    """Steps and time-outs of the status log as a stream, in files by time and a last event that lets time pass."""
+    out = _folder(spark)
+    log = status_log(spark, sf)
+    end = log.agg(F.max("ts") + F.expr("INTERVAL 400 DAYS")).first()[0]
+    log.repartitionByRange(4, "ts").write.parquet(f"{out}/events")
+    last = spark.createDataFrame([(None, end, -1, "pending")], log.schema)
+    last.coalesce(1).write.mode("append").parquet(f"{out}/events")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 5).parquet(f"{out}/events")
+    found = flow.status_flow(stream, delay=timedelta(days=40), limit=timedelta(hours=12), retention=timedelta(days=300))
+    found.writeStream.format("parquet").option("checkpointLocation", f"{out}/log").option("path", f"{out}/flow").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{out}/flow")
+    return rows.where("operation_id IS NOT NULL").select("operation_id", "kind", "event_id", "before", "status", "allowed")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pagestrata.functions.urls import domain_suffixes, host_name, resolved_link, url_parts
 from pagestrata.operators.dom import with_nodes
@@ -13,9 +13,13 @@ from pagestrata.operators.dom import with_nodes
 def with_hrefs(pages: DataFrame, into: str = "hrefs") -> DataFrame:
     """Add the ``href`` of every link of a page, but empty ones and page-internal anchors."""
     df = with_nodes(pages, tags=("a",), texts=False)
-    hrefs = F.transform("nodes", lambda n: n["attrs"]["href"])
-    kept = F.filter(hrefs, lambda h: h.isNotNull() & (h != "") & ~h.startswith("#"))
-    return df.withColumn(into, kept).drop("nodes")
+    return df.withColumn(into, kept_hrefs(F.col("nodes"))).drop("nodes")
+
+
+def kept_hrefs(nodes: Column) -> Column:
+    """The ``href`` of each of an array of link nodes, but empty ones and page-internal anchors."""
+    hrefs = F.transform(nodes, lambda n: n["attrs"]["href"])
+    return F.filter(hrefs, lambda h: h.isNotNull() & (h != "") & ~h.startswith("#"))
 
 
 def page_links(pages: DataFrame, base: str = "url") -> DataFrame:

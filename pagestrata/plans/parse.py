@@ -22,6 +22,7 @@ from pagestrata.operators.containers import (
 )
 from pagestrata.operators.detect import bitrix_version, platform
 from pagestrata.operators.dom import sql_inner_html, with_nodes
+from pagestrata.operators.links import kept_hrefs
 from pagestrata.operators.segments import (
     sql_candidates,
     sql_excluded_footer,
@@ -73,10 +74,12 @@ def with_page_blocks(
     markers: Mapping[str, Sequence[str]] = MARKERS,
     order: Sequence[str] = PLATFORMS,
     own: Mapping[str, OwnPlatform] | None = None,
+    links: bool = False,
 ) -> DataFrame:
     """Add ``platform`` and ``blocks`` (array of ``{position, block_type, content, html}``) to pages.
 
-    ``own`` names further platforms; their markers are tried before the others.
+    ``own`` names further platforms; their markers are tried before the others. With ``links`` the same reading of the markup also
+    gives ``hrefs``, as ``with_hrefs`` does, and pages of all platforms are read.
     """
     own = own or {}
     markers = {**markers, **{p: rules.markers for p, rules in own.items()}}
@@ -84,7 +87,8 @@ def with_page_blocks(
     templates = read_templates() if templates is None else templates
     name = F.col("platform")
     df = pages.withColumn("platform", platform(F.col("html"), markers, order))
-    df = with_nodes(df.withColumn("__tree", name.isin("html5", "tilda", "bitrix", *own)), only_if="__tree")
+    df = df.withColumn("__tree", F.lit(True) if links else name.isin("html5", "tilda", "bitrix", *own))
+    df = with_nodes(df, only_if="__tree")
     html5 = name == "html5"
 
     def node(part: str) -> Column:
@@ -161,7 +165,8 @@ def with_page_blocks(
         "filter(transform(__parts, (p, i) -> named_struct('position', i, 'block_type', p.block_type, "
         "'content', p.content, 'html', p.html)), b -> b.block_type IS NOT NULL)"
     )
-    return df.select(*pages.columns, "platform", placed.alias("blocks"))
+    hrefs = [kept_hrefs(F.filter("nodes", lambda n: n["tag"] == "a")).alias("hrefs")] if links else []
+    return df.select(*pages.columns, "platform", placed.alias("blocks"), *hrefs)
 
 
 def outcomes(pages: DataFrame, created_at: Column, updated_at: Column, templates: Sequence[Template] | None = None) -> DataFrame:
@@ -181,7 +186,11 @@ def outcomes(pages: DataFrame, created_at: Column, updated_at: Column, templates
 
 def page_blocks(pages: DataFrame, created_at: Column, **rules) -> DataFrame:
     """Block rows of a corpus (see ``BLOCK_COLUMNS``); ``created_at`` is an input, not the clock."""
-    df = with_page_blocks(pages.withColumn("__at", created_at), **rules)
+    return block_rows(with_page_blocks(pages.withColumn("__at", created_at), **rules))
+
+
+def block_rows(df: DataFrame) -> DataFrame:
+    """Block rows of parsed pages with their time ``__at``."""
     operation = operation_id(F.col("url"), F.col("page_id"))
     # The outer form keeps Spark from copying the whole block expression into a filter below the explode.
     exploded = F.posexplode_outer("blocks").alias("no", "b")

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from catalog.base import MARKERS, ORACLES, SITE, STATUS, at, over_blocks, pages, query, site, site_blocks, site_operations, sql_string, status_log
 from pagestrata.operators import patterns
+from pagestrata.operators.links import page_links
 from pagestrata.operators.templates import template_table
 from pagestrata.plans.parse import page_blocks
 from pagestrata.rules import MARKERS as MARKER_RULES
 from pagestrata.session import work_dir
 from pagestrata.sources import files
 from pagestrata.sources.pages import read_page_files
+from pagestrata.sources.site_store import SiteStore
 from pagestrata.streaming import flow, ingest
 
 _MARKER_ROWS = ", ".join(f"({sql_string(p)}, {sql_string(m)})" for p, markers in MARKERS.items() for m in markers)
@@ -174,3 +176,64 @@ def j2_flow(spark, sf):
     found.writeStream.format("parquet").option("checkpointLocation", f"{out}/log").option("path", f"{out}/flow").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema(found.schema).parquet(f"{out}/flow")
     return rows.where("operation_id IS NOT NULL").select("operation_id", "kind", "event_id", "before", "status", "allowed")
+
+
+# -- stored tables -------------------------------------------------------------------
+
+
+def _site_store(spark, sf, *names: str) -> SiteStore:
+    store = SiteStore(spark, _folder(spark), 8)
+    for name in names:
+        store.add(name, site_operations(spark, sf) if name == "operations" else site_blocks(spark, sf))
+    return store
+
+
+_OF_LEAST = "WHERE operation_id = (SELECT min(operation_id) FROM ops)"
+
+
+@query("b3_stored_blocks", over_blocks(f"SELECT block_id, position, block_type, md5(html) AS checksum, status FROM blocks JOIN ops USING (operation_id) {_OF_LEAST}"))
+def b3_stored(spark, sf):
+    """Blocks of one operation with its status, each read from one shard of a stored table."""
+    store = _site_store(spark, sf, "operations", "blocks")
+    least = store.table("operations").agg(F.min("operation_id")).first()[0]
+    blocks, operation = store.of("blocks", least), store.of("operations", least)
+    return blocks.join(operation.select("operation_id", "status"), "operation_id").select("block_id", "position", "block_type", F.md5("html").alias("checksum"), "status")
+
+
+@query("b4_stored_block", over_blocks("SELECT operation_id, block_id, platform, block_type, position, content FROM blocks WHERE block_id = (SELECT min(block_id) FROM blocks)"))
+def b4_stored(spark, sf):
+    """One block of a stored table by its id."""
+    store = _site_store(spark, sf, "blocks")
+    least = store.table("blocks").agg(F.min("block_id")).first()[0]
+    return store.block(least).select("operation_id", "block_id", "platform", "block_type", "position", "content")
+
+
+@query(
+    "a8_stored_links",
+    """WITH hrefs AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages)
+    SELECT CAST(page_id AS VARCHAR) AS operation_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS url,
+      min(CASE WHEN page_id % 2 = 0 AND contains(href, 'e') THEN 2 ELSE 1 END) AS depth
+    FROM hrefs WHERE href <> '' AND NOT starts_with(href, '#') GROUP BY ALL""",
+)
+def a8_stored(spark, sf):
+    """Links of all pages, some of them stored before with another depth, which stays."""
+    store = SiteStore(spark, _folder(spark), 8)
+    found = page_links(pages(spark, sf)).where("link IS NOT NULL")
+    links = found.select(F.col("page_id").cast("string").alias("operation_id"), F.col("link").alias("url"), "href", F.current_timestamp().alias("created_at"))
+    store.add("links", links.where("operation_id % 2 = 0 AND contains(href, 'e')").select("operation_id", "url", F.lit(2).alias("depth"), "created_at"))
+    store.add("links", links.select("operation_id", "url", F.lit(1).alias("depth"), "created_at"))
+    return store.table("links").select("operation_id", "url", "depth")
+
+
+@query(
+    "a11_stored_cascade",
+    over_blocks("""SELECT 'operations' AS table_name, operation_id, NULL AS block_id FROM ops WHERE page_id % 3 <> 0
+      UNION ALL SELECT 'blocks', operation_id, block_id FROM blocks WHERE page_id % 3 <> 0"""),
+)
+def a11_stored(spark, sf):
+    """What is left of operations and blocks when a third of the operations is deleted."""
+    store = _site_store(spark, sf, "operations", "blocks")
+    gone = site(spark, sf).where("page_id % 3 = 0").select(F.md5(F.concat_ws("|", "url", F.col("page_id").cast("string"))).alias("operation_id"))
+    store.delete(gone)
+    rows = [store.table(n).select(F.lit(n).alias("table_name"), "operation_id", c.cast("string").alias("block_id")) for n, c in (("operations", F.lit(None)), ("blocks", F.col("block_id")))]
+    return rows[0].unionByName(rows[1])

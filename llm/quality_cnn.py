@@ -4,12 +4,12 @@ A text's UTF-8 bytes are cut into overlapping chunks that cover the whole of it.
 embedded, filters slide over them, each filter's largest response in the chunk is kept, and a chunk's score is linear in these;
 the mean of the chunk scores through a logistic function is the probability of label 1.
 
-Training is on the driver, on at most ``max_per_class`` labelled documents of each label and ``max_chunks`` chunks, evenly
-spaced, of each: a bounded sample by a hash of the id. The classes' true ratio among the rows open to learning is restored
+Training is on the driver, on whole documents: of each label at most ``max_per_class`` labelled ones and ``max_bytes``, a bounded sample in the order
+of a hash of the id. The classes' true ratio among the rows open to learning is restored
 by the bias. Scoring is one Arrow pass over all rows.
 
 Nulls: a null text counts as empty, one chunk of padding, and gets a score; null ids are carried; labels other than 0 and 1 teach nothing.
-Repeated rows each get a row and, if labelled, teach again. With one class or none to learn from, the
+Repeated rows each get a row and, if labelled, teach once. With one class or none to learn from, the
 score is that class's rate (one half if none). An empty table gives no rows. Only the named columns are read, so further columns
 cannot clash.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -84,14 +85,25 @@ def n_chunks(length: int) -> int:
 
 
 def _step(net: Network, chunks: np.ndarray, doc: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Gradients of the mean log loss; ``doc`` numbers the document of each chunk."""
-    response = net.responses(chunks)
-    best = response.argmax(axis=1)  # (chunk, filter)
-    top = np.take_along_axis(response, best[:, None, :], axis=1)[:, 0] + net.shift
-    pooled = np.maximum(top, 0)
+    """Gradients of the mean log loss; ``doc`` numbers the document of each chunk. Chunks are taken in blocks, so a long document needs little memory."""
+    blocks = [slice(i, i + _BLOCK) for i in range(0, len(chunks), _BLOCK)]
+    seen = []
+    for block in blocks:
+        response = net.responses(chunks[block])
+        best = response.argmax(axis=1)  # (chunk, filter)
+        seen.append((best, np.take_along_axis(response, best[:, None, :], axis=1)[:, 0] + net.shift))
+    scores = np.concatenate([np.maximum(top, 0) @ net.weight + net.bias for _, top in seen])
     per = np.bincount(doc, minlength=len(y))
-    logit = np.bincount(doc, pooled @ net.weight + net.bias, len(y)) / per
+    logit = np.bincount(doc, scores, len(y)) / per
     err = ((1 / (1 + np.exp(-logit)) - y) / (per * len(y)))[doc].astype(np.float32)
+    total = [np.zeros(p.shape) for p in net.parts()]
+    for block, (best, top) in zip(blocks, seen):
+        for sums, part in zip(total, _gradients(net, chunks[block], best, top, err[block])):
+            sums += part
+    return total
+
+
+def _gradients(net: Network, chunks: np.ndarray, best: np.ndarray, top: np.ndarray, err: np.ndarray) -> list[np.ndarray]:
     d_top = err[:, None] * net.weight * (top > 0)
     under = net.windows(chunks)[np.arange(len(chunks))[:, None], best]  # (chunk, filter, width * d)
     d_filters = np.einsum("cf,cfw->wf", d_top, under)
@@ -100,11 +112,11 @@ def _step(net: Network, chunks: np.ndarray, doc: np.ndarray, y: np.ndarray) -> l
     at = chunks[np.arange(len(chunks))[:, None, None], best[:, :, None] + np.arange(width)]  # bytes under the best positions
     back = d_top[:, :, None] * net.filters.T  # (chunk, filter, width * d)
     d_embed = np.stack([np.bincount(at.ravel(), back[:, :, k::d].ravel(), PAD + 1) for k in range(d)], axis=1)
-    return [d_embed, d_filters, d_top.sum(axis=0), err @ pooled, np.array([err.sum()])]
+    return [d_embed, d_filters, d_top.sum(axis=0), err @ np.maximum(top, 0), np.array([err.sum()])]
 
 
-def train(sample: list[tuple[int, np.ndarray]], seed: int = 0, passes: int = 6, rate: float = 0.01, batch: int = 32, least_steps: int = 900) -> Network:
-    """Fit by Adam to (label, chunks) of documents, the classes weighed alike."""
+def train(sample: list[tuple[int, bytes]], seed: int = 0, passes: int = 6, rate: float = 0.01, batch: int = 32, least_steps: int = 900) -> Network:
+    """Fit by Adam to (label, text) of documents, all chunks of each, the classes weighed alike."""
     net = Network.fresh(seed)
     rng = np.random.default_rng(seed)
     moments = [[np.zeros(p.shape), np.zeros(p.shape)] for p in net.parts()]
@@ -116,7 +128,7 @@ def train(sample: list[tuple[int, np.ndarray]], seed: int = 0, passes: int = 6,
     for _ in range(passes):
         order = rng.permutation(np.concatenate([np.resize(rng.permutation(c), size) for c in of]))
         for i in range(0, len(order), batch):
-            picked = [sample[j] for j in order[i : i + batch]]
+            picked = [(sample[j][0], chunks_of(sample[j][1])) for j in order[i : i + batch]]
             doc = np.repeat(np.arange(len(picked)), [len(c) for _, c in picked])
             grads = _step(net, np.concatenate([c for _, c in picked]), doc, np.array([y for y, _ in picked], float))
             t += 1
@@ -132,25 +144,24 @@ def learnable(id_col: str = "doc_id", parts: int = 4, held: int = 2) -> Column:
     return crc_mod(id_col, parts) != held
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, max_chunks: int = 6, seed: int = 0) -> Network:
-    """Train on labelled documents (labels: doc_id, quality) that are open to learning."""
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, max_bytes: int = 32 << 20, seed: int = 0) -> Network:
+    """Train on labelled documents (labels: doc_id, quality) that are open to learning.
+
+    The sample is bounded in rows and bytes of each class: labelled rows in the order of a hash of their ids, as long as both bounds hold. Sampled documents are learnt from whole.
+    """
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(learnable() & F.col("y").isin(0, 1))
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = [marked.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for c in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-
-    def cut(batches):
-        for batch in batches:
-            cuts = []
-            for text in bytes_of(batch):
-                n = n_chunks(len(text))
-                cuts.append(chunks_of(text, np.unique(np.linspace(0, n - 1, min(n, max_chunks)).astype(int))).tobytes())
-            if cuts:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(cuts, pa.binary())], names=["doc_id", "y", "chunks"])
-
-    found = rows.mapInArrow(cut, "doc_id long, y int, chunks binary").limit(2 * max_per_class * 4).collect()
-    found = sorted((r["doc_id"], r["y"], bytes(r["chunks"])) for r in found)
-    sample = [(y, np.frombuffer(c, np.int16).reshape(-1, CHUNK)) for _, y, c in found]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    sizes = rows.select("doc_id", "y", F.octet_length("text").alias("bytes"), F.md5("text").alias("md5"))
+    chosen = []
+    for c in (0, 1):
+        first = sizes.where(F.col("y") == c).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "md5").limit(max_per_class).collect()
+        chosen += [r for r, total in zip(first, accumulate(r["bytes"] for r in first)) if total <= max_bytes]
+    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"], r["md5"]) for r in chosen], "doc_id long, y int, md5 string")
+    whole = rows.withColumn("md5", F.md5("text")).join(F.broadcast(wanted), ["doc_id", "y", "md5"], "left_semi").distinct()
+    found = sorted((r["doc_id"], r["y"], r["text"].encode()) for r in whole.collect())
+    sample = [(y, t) for _, y, t in found]
     if {y for y, _ in sample} != {0, 1}:
         only = Network.fresh(seed)
         only.weight[:] = 0

@@ -155,6 +155,40 @@ def is_signed_token(header: str, payload: str, signature: str) -> bool:
     return data is not None and (len(data) >= 128 if want is None else len(data) == want)
 
 
+_MARKS = re.compile(rb'["{}]')
+
+
+def _opening(data: bytes) -> int | None:
+    """Place of the brace that the closing one at the end belongs to, read backwards once; no other place can begin an object that ends there."""
+    data = data.rstrip(b" \t\r\n")
+    if not data.endswith(b"}"):
+        return None
+    depth, quoted = 0, False
+    for m in reversed(list(_MARKS.finditer(data))):
+        at = m.start()
+        if m[0] == b'"':
+            before = at
+            while before and data[before - 1] == 0x5C:  # a backslash
+                before -= 1
+            quoted ^= (at - before) % 2 == 0
+        elif not quoted:
+            depth += 1 if m[0] == b"}" else -1
+            if depth == 0:
+                return at
+    return None
+
+
+def _headers(part: str) -> list[int]:
+    """Where a token's header may begin that ends with the part: one place at most for each way to align groups of four characters."""
+    found = []
+    for first in range(min(4, len(part))):
+        data = unbase64(part[first:])
+        at = _opening(data) if data else None
+        if at is not None and at % 3 == 0 and _HEADER.match(part, first + at // 3 * 4):
+            found.append(first + at // 3 * 4)
+    return sorted(found)
+
+
 def _tokens(text: str) -> Iterator[tuple[int, int]]:
     """Start and end of signed tokens; dashes and underscores around one are in its alphabet, so decoding tells what is part of it."""
     at = 0
@@ -164,10 +198,10 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
             continue
         least = len(m[3].rstrip("-_"))
         signatures = [m[3][:n] for n in (*_SIGNATURE_CHARS, len(m[3]), least) if least <= n <= len(m[3])]
-        for h in _HEADER.finditer(m[1]):
-            header = m[1][h.start() :]
-            if _object(header) and (found := next((s for s in signatures if is_signed_token(header, m[2], s)), None)) is not None:
-                yield m.start() + h.start(), m.start(3) + len(found)
+        for start in _headers(m[1]):
+            found = next((s for s in signatures if is_signed_token(m[1][start:], m[2], s)), None)
+            if found is not None:
+                yield m.start() + start, m.start(3) + len(found)
                 at = m.end()
                 break
 

@@ -66,3 +66,43 @@ def test_held_out_accuracy_and_edge_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     assert Q.classify(docs.limit(0), labels).count() == 0
     assert {r.score for r in Q.classify(docs.limit(3), labels.limit(0)).collect()} == {0.5}
+
+
+def test_forward_pass_against_plain_loops():
+    """The score of a text from its definition: each filter's best place in each chunk, the mean over chunks."""
+    net = Q.Network.fresh(2, d=3, width=4, n=5)
+    net.shift[:] = [0.1, -0.2, 0.3, 0.0, -0.1]
+    net.prior = 0.25
+    for text in (b"", "Ünder the bridge".encode() * 70):
+        scores = []
+        for start in range(0, max(1, len(text)), Q.STRIDE):
+            codes = list(text[start : start + Q.CHUNK])
+            codes += [Q.PAD] * (Q.CHUNK - len(codes))
+            score = float(net.bias[0])
+            for f in range(5):
+                best = max(
+                    sum(float(net.embed[codes[p + w], k]) * float(net.filters[w * 3 + k, f]) for w in range(4) for k in range(3)) for p in range(Q.CHUNK - 3)
+                )
+                score += max(best + float(net.shift[f]), 0) * float(net.weight[f])
+            scores.append(score)
+            if start + Q.CHUNK >= len(text):
+                break
+        assert np.allclose(net.chunk_scores(Q.chunks_of(text)), scores, atol=1e-4)
+
+
+def test_long_documents_are_learnt_from_whole_and_held_out_ones_are_told_apart(spark):
+    """Junk only in the middle of long documents, where a few chunks of each would not show it."""
+    local = random.Random(8)
+
+    def long_text(bad):
+        parts = [prose(80) for _ in range(9)]
+        for k in local.sample(range(1, 8), 3) if bad else []:
+            parts[k] = junk(80)
+        return " ".join(parts)
+
+    rows = [(i, long_text(i % 2 == 0)) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    held = [r for r in Q.classify(docs, labels, threshold=0.5).collect() if r.held_out]
+    assert len(held) > 10 and sum(r.predicted == r.doc_id % 2 for r in held) >= 0.9 * len(held)
+    assert not Q.fit(docs, labels, max_bytes=1000).weight.any()  # no whole document fits

@@ -109,3 +109,25 @@ def test_table_and_redaction(spark):
     cleaned = S.redacted(rows).collect()
     assert [r.text for r in cleaned[:4]] == ['é [SECRET]" b [SECRET]"', None, "", "[SECRET]"]
     assert S.scan(rows.limit(0)).count() == S.redacted(rows.limit(0)).count() == 0
+
+
+def test_header_search_is_linear_and_equals_a_search_of_every_start():
+    import base64
+    import json
+    import random
+    import time
+
+    rng = random.Random(6)
+    for _ in range(300):
+        body = {"alg": "none", **{rng.choice("ab\"{}\\") * rng.randint(1, 3): rng.choice(["x", '{"', "\\", {"a": "}"}, [1]]) for _ in range(rng.randint(0, 3))}}
+        part = base64.urlsafe_b64encode(json.dumps(body, separators=rng.choice([(",", ":"), (", ", ": ")])).encode()).decode().rstrip("=")
+        part = rng.choice(["", "-", "_", "--", "-_-", "eyJ-", "abc-", "-eyJ9-"]) + part
+        wanted = [h.start() for h in S._HEADER.finditer(part) if S._object(part[h.start() :])]
+        assert [h for h in S._headers(part) if S._object(part[h:])] == wanted and wanted
+    took = {}
+    for n in (50_000, 200_000):
+        text = "-eyJ" * n + ".eyJhIjoxfQ." + "x" * 43
+        began = time.perf_counter()
+        assert not [s for s in S.spans(text) if s[1] == "jwt"]
+        took[n] = time.perf_counter() - began
+    assert took[200_000] < 10 * took[50_000] + 1

@@ -68,6 +68,13 @@ def release_memory() -> None:
         trim(0)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark hand rows to Python tasks in batches of at most so many, for tables of whole texts; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """Apply fn to each Arrow batch."""
 
@@ -79,6 +86,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                     yield made
                 else:
                     yield from made
+                del made, batch
+                release_memory()
 
     return df.mapInArrow(run, schema)
 

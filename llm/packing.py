@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 
 from llm.common import release_memory, stored, texts_of
 
-_CACHE = 600_000
+_CACHE = 300_000
 _CLOSING = ".,!?$%&*#;:"
 # Letters and digits that are such in every edition of the character tables; U+0130 lower-cases to a letter and a mark.
 _ENDS = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and c != "\u0130")

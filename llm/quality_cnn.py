@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from llm.common import bytes_of, crc_mod
+from llm.common import bytes_of, crc_mod, release_memory
 
 CHUNK = 512
 STRIDE = 384
@@ -200,6 +200,8 @@ def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), te
             logit = np.clip(totals / counts + net.prior, -500, 500)
             columns = [batch.column(k) for k in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-logit)))], names=[*keep, "score"])
+            del columns, batch
+            release_memory()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
     return rows.mapInArrow(run, f"{fields}, score double")

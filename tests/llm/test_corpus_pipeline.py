@@ -46,3 +46,36 @@ def test_stages_take_effect_and_match_plain_python(spark, tmp_path):
         pieces = sorted((p.start, p.ids) for p in after["packing"] if p.doc_id == i)
         assert np.frombuffer(b"".join(x for _, x in pieces), "<u4").tolist() == PLAIN.encode(r.text or "", add_special_tokens=False).ids + [1]
     assert simhash_dedup.BITS == 64 and P.PATTERN
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def write(spark, folder, docs, labels):
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_run_packs_what_the_stages_keep(spark, tmp_path):
+    good = [(i, prose(), "en", "s", None) for i in range(60)]
+    bad = [(100 + i, " ".join(w + "!!" for w in prose().upper().split()), None, None, 3) for i in range(60)]
+    write(spark, tmp_path, [*good, *bad, (None, good[0][1], None, None, None), (500, "x " * 60_000, "en", "s", 1)], [(i, 1, 0) for i in range(60)] + [(100 + i, 0, 0) for i in range(60)])
+    pieces = C.run(spark, str(tmp_path)).collect()
+    kept = {p.doc_id for p in pieces}
+    assert len(kept & set(range(60))) >= 57 and not kept & {100 + i for i in range(60)}
+    for i in kept & set(range(60)):
+        ids = PLAIN.encode(secret_scan.redact(good[i][1]), add_special_tokens=False).ids + [1]
+        own = sorted((p.start, p.ids) for p in pieces if p.doc_id == i)
+        assert np.frombuffer(b"".join(x for _, x in own), "<u4").tolist() == ids
+
+
+def test_every_stage_on_empty_and_null_tables_and_more_columns(spark, tmp_path):
+    write(spark, tmp_path, [], [(1, 1, 0), (2, 0, 0), (None, None, None)])
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 2 + [(3, None, None, None, None)], SCHEMA).selectExpr("*", "1 AS score", "'x' AS digest", "2 AS fp", "3 AS keep_id")
+    for name, stage in C.STAGES:
+        for docs, most in ((nulls.limit(0), 0), (nulls, 3)):
+            found = stage(spark, docs, str(tmp_path))
+            assert found.count() <= most
+            if name != "packing":
+                assert found.columns == list(C.COLUMNS)
+    assert C.run(spark, str(tmp_path)).count() == 0

@@ -2,12 +2,14 @@
 
 For each element the reader notes its offsets into two texts it writes on the way, canonical HTML and decoded text. Selecting, comparing and
 labelling happen in Spark on those columns. Tree rules are those that matter for real pages: void elements, implied end tags and table
-parts, and formatting that was left open and goes on in the next block (``<p><b>a<p>b``).
+parts, and formatting that was left open and goes on in the next block (``<p><b>a<p>b``). Of formatting left open the last 64 elements go on;
+a page that leaves more open would otherwise grow with the square of its size.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 # Element groups of the HTML standard.
@@ -37,6 +39,9 @@ ENDS = {
 #: Table part -> the element it needs around it.
 NEEDS = {**dict.fromkeys(CELLS, (frozenset(("tr",)), "tr")), "tr": (SECTIONS, "tbody")}
 
+#: So much formatting goes on in the next block at most.
+MOST_FORMATTING = 64
+
 _ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", "'": "&#39;", '"': "&#34;", "\r": "&#13;"})
 
 
@@ -60,6 +65,7 @@ class Reader(HTMLParser):
         self._texts: list[str] = []
         self._at = self._text_at = 0
         self._open: list[Node] = []
+        self._open_tags: Counter[str] = Counter()
         self._formatting: list[Node] = []  # opened and not ended by their own tag
         self._seen: set[str] = set()
 
@@ -90,10 +96,12 @@ class Reader(HTMLParser):
             node.html_end = self._at
         else:
             self._open.append(node)
+            self._open_tags[tag] += 1
         return node
 
     def _pop(self) -> Node:
         node = self._open.pop()
+        self._open_tags[node.tag] -= 1
         node.inner_end, node.text_end = self._at, self._text_at
         self._write(f"</{node.tag}>")
         node.html_end, node.last_desc_id = self._at, len(self.nodes) - 1
@@ -105,6 +113,8 @@ class Reader(HTMLParser):
         return self._open[-1].tag if self._open else ""
 
     def _in_scope(self, wanted, stops) -> bool:
+        if not any(self._open_tags[tag] for tag in wanted):
+            return False
         for node in reversed(self._open):
             if node.tag in wanted:
                 return True
@@ -153,7 +163,7 @@ class Reader(HTMLParser):
             same = [f for f in self._formatting if f.tag == tag and f.attrs == (values or None)]
             if len(same) >= 3:
                 self._formatting.remove(same[0])
-            self._formatting.append(self._push(tag, values or None))
+            self._formatting = [*self._formatting[1 - MOST_FORMATTING :], self._push(tag, values or None)]
             return
         inline = tag not in ENDS and tag not in HEAD_ONLY and tag not in NEEDS and tag not in ("html", "head", "body", "table", "caption", "colgroup", "col")
         if inline:
@@ -177,11 +187,11 @@ class Reader(HTMLParser):
         found = next((f for f in reversed(self._formatting) if f.tag == tag), None)
         if found is None:
             return
-        if found.html_end < 0 and any(n.tag in SCOPE for n in self._open[self._open.index(found) :]):
+        if found.html_end < 0 and any(n.tag in SCOPE for n in self._open[found.depth :]):
             return
         self._formatting.remove(found)
         if found.html_end < 0:
-            inside = self._open[self._open.index(found) + 1 :]
+            inside = self._open[found.depth + 1 :]
             if all(n.tag not in BLOCKS for n in inside):
                 while self._pop() is not found:
                     pass

@@ -9,6 +9,7 @@ from pages never shuffles, however large one site is.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
@@ -160,11 +161,11 @@ def sql_matches(sel: Sel, n: str, nodes: str = "nodes", text: str = "page_text")
     if sel.child_of:
         terms.append(f"coalesce({sql_matches(sel.child_of, f'get({nodes}, {n}.parent_id)', nodes, text)}, false)")
     if sel.under:
-        up = n + "_up"
+        up = re.sub(r"\W+", "_", n) + "_up"
         inside = f"{up}.node_id < {n}.node_id AND {up}.last_desc_id >= {n}.node_id"
         terms.append(f"exists({nodes}, {up} -> {inside} AND {sql_matches(sel.under, up, nodes, text)})")
     if sel.holding:
-        low = n + "_low"
+        low = re.sub(r"\W+", "_", n) + "_low"
         below = f"slice({nodes}, {n}.node_id + 2, {n}.last_desc_id - {n}.node_id)"
         terms.append(f"exists({below}, {low} -> {sql_matches(sel.holding, low, nodes, text)})")
     if sel.text:

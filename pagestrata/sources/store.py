@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from pagestrata.functions.json_text import indented_content, indented_object
 from pagestrata.rules import BLOCK_TYPES, PLATFORMS, STATUSES
@@ -119,26 +119,45 @@ def metadata_json(with_html: bool = False) -> Column:
 # -- constraints ------------------------------------------------------------
 
 
+def _checks(table: str) -> list[tuple[str, Column]]:
+    """Constraints of operations, blocks or links in the order they are tried: name, and when it is broken."""
+    if table == "links":
+        return [(name, F.col(name).isNull()) for name in ("operation_id", "url", "depth")]
+    if table == "operations":
+        return [("url", F.col("url").isNull()), ("status", ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)))]
+    return [
+        ("operation_id", F.col("operation_id").isNull()),
+        ("block_type", ~F.coalesce(F.col("block_type").isin(*BLOCK_TYPES), F.lit(False))),
+        ("platform", ~F.coalesce(F.col("platform").isin(*PLATFORMS, "unknown"), F.lit(False))),
+        ("content", F.col("content").isNull()),
+        ("html", F.col("html").isNull()),
+    ]
+
+
 def violation(table: str = "blocks") -> Column:
     """Name of the first constraint that a row of operations, blocks or links breaks, or null."""
-    if table == "links":
-        checks = [(name, F.col(name).isNull()) for name in ("operation_id", "url", "depth")]
-    elif table == "operations":
-        checks = [("url", F.col("url").isNull()), ("status", ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)))]
-    else:
-        checks = [
-            ("operation_id", F.col("operation_id").isNull()),
-            ("block_type", ~F.coalesce(F.col("block_type").isin(*BLOCK_TYPES), F.lit(False))),
-            ("platform", ~F.coalesce(F.col("platform").isin(*PLATFORMS, "unknown"), F.lit(False))),
-            ("content", F.col("content").isNull()),
-            ("html", F.col("html").isNull()),
-        ]
     reason = F.lit(None).cast("string")
-    for name, broken in reversed(checks):
+    for name, broken in reversed(_checks(table)):
         reason = F.when(broken, F.lit(name)).otherwise(reason)
     return reason
 
 
+def write_checked(rows: DataFrame, table: str, path: str) -> dict[str, int]:
+    """Write ``rows`` once, split by whether they meet all constraints; rows by reason, ``rows`` in all, from the same pass.
+
+    The table at ``path`` has the rows' columns, the ``reason`` (null for valid rows) and the partition ``valid`` ('true' or 'false'). An existing table is
+    refused, as are rows that have columns of these names.
+    """
+    clash = {"reason", "valid"} & {c.lower() for c in rows.columns}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are in the way")
+    seen = Observation()
+    counts = [F.count_if(F.col("reason") == name).alias(name) for name, _ in _checks(table)]
+    marked = rows.withColumn("reason", violation(table)).observe(seen, F.count(F.lit(1)).alias("rows"), *counts)
+    marked.withColumn("valid", F.col("reason").isNull()).write.partitionBy("valid").parquet(path)
+    return dict(seen.get)
+
+
 def split_valid(rows: DataFrame, table: str = "blocks") -> tuple[DataFrame, DataFrame]:
     """Rows that meet all constraints, and the others with the ``reason``."""
     marked = rows.withColumn("reason", violation(table))

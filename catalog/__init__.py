@@ -1,6 +1,6 @@
 """Registered queries, each with the SQL that gives the same rows in DuckDB."""
 
-from catalog import base, crawling, parsing, platforms, storing, tables  # noqa: F401
+from catalog import base, crawling, parsing, platforms, storing, structure, tables  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES

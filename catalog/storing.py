@@ -67,14 +67,15 @@ def a7(spark, sf):
     return files.select("operation_id", "block_id", "path", "kind", F.when(F.col("kind") == "html", F.md5("body")).alias("checksum"))
 
 
-_LINKS = """links AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"#]*)"', 1)) AS href FROM pages)"""
+_LINKS = """links AS (SELECT * FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages)
+  WHERE href <> '' AND NOT starts_with(href, '#'))"""
 
 
 @query("a8_new_links", f"WITH {_LINKS} SELECT DISTINCT CAST(page_id AS VARCHAR) AS operation_id, href AS url FROM links WHERE page_id % 2 = 1 OR href <> '/the'")
 def a8(spark, sf):
     links = page_links(table(spark, sf, "pages")).select(F.col("page_id").cast("string").alias("operation_id"), F.col("href").alias("url"))
     before = links.filter("operation_id % 2 = 0 AND url = '/the'")
-    return store.new_links(links.filter(F.startswith("url", F.lit("/"))), before)
+    return store.new_links(links, before)
 
 
 _TEMPLATES = "VALUES " + ", ".join(f"({number}, {priority}, {sql_string(label)})" for number, priority, label, _ in TEMPLATES)
@@ -125,7 +126,7 @@ def a10(spark, sf):
 )
 def a10_links(spark, sf):
     """Links, some without a depth, split into valid ones and a quarantine."""
-    rows = page_links(table(spark, sf, "pages")).filter(F.startswith("href", F.lit("/")))
+    rows = page_links(table(spark, sf, "pages"))
     depth = F.when(F.col("page_id") % 5 > 0, F.lit(1))
     links = rows.select(F.col("page_id").alias("operation_id"), F.col("href").alias("url"), depth.alias("depth"))
     valid, quarantine = store.split_valid(links, "links")
@@ -178,8 +179,7 @@ def b4(spark, sf):
 
 @query("b5_links_of_operation", f"WITH {_LINKS} SELECT CAST(page_id AS VARCHAR) AS operation_id, href AS url, 1 AS depth FROM links WHERE page_id = 7")
 def b5(spark, sf):
-    links = page_links(table(spark, sf, "pages")).filter(F.startswith("href", F.lit("/")))
-    links = links.select(F.col("page_id").cast("string").alias("operation_id"), F.col("href").alias("url"), F.lit(1).alias("depth"), F.lit(0).alias("created_at"))
+    links = page_links(table(spark, sf, "pages")).select(F.col("page_id").cast("string").alias("operation_id"), F.col("href").alias("url"), F.lit(1).alias("depth"), F.lit(0).alias("created_at"))
     return store.links_of(links, "7").drop("created_at")
 
 
@@ -223,9 +223,13 @@ def h1(spark, sf):
 _SAFE = "replace(replace(replace(content, '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e')"
 
 
+# The most characters that fit into 32,767 bytes, and the mark of a cut (a fixed value).
+_CUT = """left(html, list_max(list_filter(range(8191, 32768), lambda k: strlen(left(html, k)) <= 32767))) || '...' || chr(10) || '[Превышен лимит символов Excel]'"""
+
+
 @query(
     "h2_block_sheet",
-    over_blocks(f"SELECT operation_id, block_id, block_type, platform, {_Z.format('created_at')} AS created_at, {_SAFE} AS content, html AS html_preview FROM blocks WHERE strlen(html) <= 32767"),
+    over_blocks(f"SELECT operation_id, block_id, block_type, platform, {_Z.format('created_at')} AS created_at, {_SAFE} AS content, CASE WHEN strlen(html) <= 32767 THEN html ELSE {_CUT} END AS html_preview FROM blocks"),
 )
 def h2(spark, sf):
     return reports.block_sheet(site_blocks(spark, sf))

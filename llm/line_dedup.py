@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from llm.common import stored, with_hot
 
-#: What separates lines of text in HTML: scripts, styles and comments whole, and any tag.
-BREAKS = "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>"
+#: What separates lines of text in HTML: scripts, styles and comments whole, and any tag. Each that is not closed runs to the end of the page, so
+#: none is tried twice over the same text.
+BREAKS = "(?is)<script[^>]*>.*?(?:</script>|\\z)|<style[^>]*>.*?(?:</style>|\\z)|<!--.*?(?:-->|\\z)|<[^>]*(?:>|\\z)"
 HOST = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 

@@ -1,3 +1,5 @@
+import time
+
 from llm import line_dedup as D
 
 
@@ -19,3 +21,11 @@ def test_html_and_hosts(spark):
         D.host_of(D.F.col("url")).alias("host"), D.lines_of(D.text_of_html(D.F.col("html"))).alias("lines")
     )
     assert [tuple(r) for r in row.collect()] == [("www.x.org", ["a", "b", "d", "e"]), ("", []), ("", [])]
+
+
+def test_long_pages_of_open_tags_take_linear_time(spark):
+    parts = ["a<script>", "a<!--", "a<style>", "a<", "a<script"]
+    pages = spark.createDataFrame([(p * (1 << 18),) for p in parts], "html string")
+    start = time.monotonic()
+    assert [r.lines for r in pages.select(D.lines_of(D.text_of_html(D.F.col("html"))).alias("lines")).collect()] == [["a"]] * len(parts)
+    assert time.monotonic() - start < 20

@@ -272,13 +272,12 @@ def _summed(batches):
 
 
 def train(
-    docs: DataFrame, model: Model, seed: int = 0, draws: int = 24, rate: float = 0.3, least_tokens: int = 3_000_000, most_passes: int = 8, text_col: str = "text"
+    docs: DataFrame, model: Model, seed: int = 0, draws: int = 24, rate: float = 0.3, passes: int = 1, text_col: str = "text"
 ) -> Model:
-    """Run through all texts, again while fewer than ``least_tokens`` have been seen, at most ``most_passes`` times.
+    """Run through all texts ``passes`` times, the same number for every corpus.
 
     After each pass the partitions' parameters are averaged by tokens seen.
     """
-    passes = max(1, min(most_passes, -(-least_tokens // max(1, model.tokens))))
     spark = docs.sparkSession
     for number in range(passes):
         start = spark.sparkContext.broadcast(model)

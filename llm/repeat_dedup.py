@@ -293,7 +293,7 @@ def _counter(length: int, buckets: int):
                 bucket = (places >> np.uint64(32)).astype(np.int64)
                 for part in np.split(np.arange(len(places)), np.flatnonzero(np.diff(bucket)) + 1) if len(places) else []:
                     tags = (places[part] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
-                    yield _row(_COUNTED, int(bucket[part[0]]), batch.column("block")[i].as_py(), tags, np.minimum(times[part], 255).astype("u1").tobytes())
+                    yield _row(_COUNTED, int(bucket[part[0]]), batch.column("block")[i].as_py(), tags, times[part].astype("<u4").tobytes())
 
     return run
 
@@ -305,7 +305,7 @@ def _arrays(table: pa.Table, field: str, dtype: str) -> list[np.ndarray]:
 def _sharer(hot: int):
     def shared(table: pa.Table) -> pa.Table:
         """Step 1, a bucket: per block its anchors that two documents have."""
-        tags, docs = _arrays(table, "tags", "<u4"), _arrays(table, "docs", "u1")
+        tags, docs = _arrays(table, "tags", "<u4"), _arrays(table, "docs", "<u4")
         every = np.concatenate(tags)
         order = np.argsort(every, kind="stable")
         new = np.concatenate([[True], np.diff(every[order]) != 0])

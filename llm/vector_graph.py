@@ -219,7 +219,7 @@ def _centres(table: pa.Table) -> pa.Table:
 
 
 def _assigned(batches, overlap):
-    """Rows of each vector in its nearest clusters."""
+    """Rows of each vector in its nearest clusters; ``first`` in the nearest of all."""
     for batch in batches:
         shards, numbers, cache = batch.column("shard").to_pylist(), [], {}
         for i, (shard, vec, blob) in enumerate(zip(shards, batch.column("vec").to_pylist(), batch.column("centres").to_pylist())):
@@ -227,11 +227,11 @@ def _assigned(batches, overlap):
             if shard not in cache:
                 cache[shard] = np.frombuffer(blob, np.float64).reshape(-1, len(x))
             best = np.argsort(-(cache[shard] @ x), kind="stable")[:overlap]
-            numbers += [(i, f"{shard}/{b}") for b in best]
+            numbers += [(i, f"{shard}/{b}", b == best[0]) for b in best]
         if numbers:
-            rows, names = zip(*numbers)
+            rows, names, first = zip(*numbers)
             taken = batch.select(["id", "label", "dim", "vec", "copies"]).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(names), *taken.columns], names=["shard", *taken.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(names), *taken.columns, pa.array(map(bool, first), pa.bool_())], names=["shard", *taken.schema.names, "first"])
 
 
 def _builder(degree: int):
@@ -296,25 +296,25 @@ def _searched(table: pa.Table, threshold: float) -> pa.Table:
 def shards(nodes: DataFrame, shard_size: int, overlap: int) -> DataFrame:
     """Nodes with their shard, in ``overlap`` shards each where a group is cut.
 
-    A label over ``shard_size`` is cut into at most _FANOUT clusters by k-means on a bounded sample. A cluster is cut again only
+    A cluster that is cut again hands on only the nodes it is nearest to, so a node's further shards add up with the levels and do not multiply. A label over ``shard_size`` is cut into at most _FANOUT clusters by k-means on a bounded sample. A cluster is cut again only
     over _DENSE times that size, so that a close group stays whole, _LEVELS times at most.
     """
-    rows = nodes.withColumn("shard", F.concat_ws(":", "label", "dim"))
+    rows = nodes.withColumns({"shard": F.concat_ws(":", "label", "dim"), "first": F.lit(True)})
     done = None
     for level in range(_LEVELS):
         limit = shard_size * (_DENSE if level else 1)
-        sizes = stored(rows.groupBy("shard").agg(F.count("*").alias("size")), "shard-sizes")
-        large = sizes.where(F.col("size") > limit).withColumn("k", F.least(F.lit(_FANOUT), F.ceil(overlap * F.col("size") / shard_size)).cast("int"))
+        sizes = stored(rows.groupBy("shard").agg(F.count("*").alias("size"), F.count_if("first").alias("own")), "shard-sizes")
+        large = sizes.where(F.col("size") > limit).withColumn("k", F.least(F.lit(_FANOUT), F.ceil(overlap * F.col("own") / shard_size)).cast("int"))
         if large.isEmpty():
             break
         fits = rows.join(sizes.where(F.col("size") <= limit).select("shard"), "shard", "left_semi")
         done = fits if done is None else done.unionByName(fits)
-        big = rows.join(large, "shard")
-        sample = big.where(F.pmod(F.xxhash64("id"), F.col("size")) < _SAMPLE * F.col("k"))
+        big = rows.where("first").join(large, "shard")
+        sample = big.where(F.pmod(F.xxhash64("id"), F.col("own")) < _SAMPLE * F.col("k"))
         centres = stored(sample.select("shard", "id", "k", "vec").groupBy("shard").applyInArrow(_centres, "shard string, centres binary"), "shard-centres")
         cut = big.select("shard", "id", "label", "dim", "vec", "copies").join(centres, "shard")
-        rows = stored(cut.mapInArrow(partial(_assigned, overlap=overlap), f"shard string, {_NODE}"), "shards")
-    return rows if done is None else done.unionByName(rows)
+        rows = stored(cut.mapInArrow(partial(_assigned, overlap=overlap), f"shard string, {_NODE}, first boolean"), "shards")
+    return (rows if done is None else done.unionByName(rows)).drop("first")
 
 
 def links(nodes: DataFrame, threshold: float, shard_size: int, overlap: int, degree: int) -> DataFrame:
@@ -370,7 +370,7 @@ def near_duplicates(
     vec_col: str = "embedding",
     label_col: str = "label",
 ) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept, recall (as audited: found over true links of the sample)."""
+    """One row per vector: vec_id, n_links, component_id, kept, recall (as audited: the mean share found of a sampled vector's links, so that no hot value hides the others)."""
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"), F.col(label_col).cast("long").alias("label"))
     rows = stored(named.mapInArrow(_prepare, "vec_id long, key binary, label long, dim int, vec binary"), "vectors")
     one = F.min_by(F.struct("label", "dim", "vec"), "vec_id").alias("one")
@@ -389,7 +389,7 @@ def near_duplicates(
         counts = stored(counted.groupBy("a").agg(F.sum("n").alias("n")), "vector-counts")
         sampled = [r["id"] for r in queries]
         met = {r["a"]: r["n"] for r in counts.join(F.broadcast(plain.sparkSession.createDataFrame([(i,) for i in sampled], "a long")), "a").collect()}
-        recall = sum(met.get(i, 0) for i in truth) / sum(truth.values()) if truth else 1.0
+        recall = sum(met.get(i, 0) / n for i, n in truth.items()) / len(truth) if truth else 1.0
         if recall >= target_recall:
             break
     roots = components(found.where("b IS NOT NULL").select("a", "b"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from catalog.base import FACTS, SITE, query, site, table
-from pagestrata.operators.dom import with_nodes
+from pagestrata.operators.dom import node_table, with_nodes
 from pagestrata.operators.links import page_links
 from pagestrata.operators.structural import block_labels, counts_below, selected
 from pagestrata.rules import cls, on, tags
@@ -72,6 +72,17 @@ def f7(spark, sf):
     return parts[0].unionByName(parts[1]).select("page_id", "part", "links", "images", "child_divs")
 
 
+@query(
+    "f3_equal_markup",
+    f"""{_SITE}, items AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)) AS item FROM site)
+    SELECT page_id, count(*) AS items, count(DISTINCT item) AS different FROM items GROUP BY page_id""",
+)
+def f3(spark, sf):
+    """List items of each page, and how many differ in markup, by the digests that the reader makes on its way."""
+    nodes = node_table(with_nodes(site(spark, sf), tags=("li",), texts=False), "page_id")
+    return nodes.groupBy("page_id").agg(F.count("*").alias("items"), F.count_distinct("digest").alias("different"))
+
+
 @query("f9_running_labels", f"WITH {SITE}, {FACTS} SELECT page_id, heuristic AS label FROM sections")
 def f9(spark, sf):
     nodes = with_nodes(site(spark, sf))

@@ -1,6 +1,7 @@
 """Pages to flat node columns: the standard library's tokeniser and a stack of open elements.
 
-For each element the reader notes its offsets into two texts it writes on the way, canonical HTML and decoded text. Selecting, comparing and
+For each element the reader notes its offsets into two texts it writes on the way, canonical HTML and decoded text, and a digest of its markup, in
+which each child stands with its own digest: equal digests mean equal markup, and no markup is hashed once per enclosing element. Selecting, comparing and
 labelling happen in Spark on those columns. Tree rules are those that matter for real pages: void elements, implied end tags and table
 parts, and formatting that was left open and goes on in the next block (``<p><b>a<p>b``). Of formatting left open the last 64 elements go on;
 a page that leaves more open would otherwise grow with the square of its size.
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 # Element groups of the HTML standard.
@@ -46,11 +48,11 @@ _ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", "'": "&#39;",
 
 
 class Node:
-    """One element and its offsets; ``html_end`` is -1 while the element is open."""
+    """One element and its offsets; ``html_end`` is -1 while the element is open, and ``digest`` is the running hash until it ends."""
 
     __slots__ = (
         "node_id", "parent_id", "last_desc_id", "depth", "tag", "attrs",
-        "html_start", "inner_start", "inner_end", "html_end", "text_start", "text_end",
+        "html_start", "inner_start", "inner_end", "html_end", "text_start", "text_end", "digest",
     )
 
 
@@ -80,6 +82,8 @@ class Reader(HTMLParser):
     def _write(self, piece: str) -> None:
         self._html.append(piece)
         self._at += len(piece)
+        if self._open:
+            self._open[-1].digest.update(piece.encode("utf-8", "surrogatepass"))
 
     def _push(self, tag: str, attrs: dict[str, str] | None = None) -> Node:
         node = Node()
@@ -89,21 +93,29 @@ class Reader(HTMLParser):
         node.html_start, node.html_end = self._at, -1
         node.text_start = node.text_end = self._text_at
         inner = "".join(f' {k}="{v.translate(_ESCAPES)}"' for k, v in (attrs or {}).items())
+        self.nodes.append(node)
+        node.digest = blake2b(digest_size=16)
+        if tag not in VOID:
+            self._open.append(node)
+            self._open_tags[tag] += 1
         self._write(f"<{tag}{inner}/>" if tag in VOID else f"<{tag}{inner}>")
         node.inner_start = node.inner_end = self._at
-        self.nodes.append(node)
         if tag in VOID:
             node.html_end = self._at
-        else:
-            self._open.append(node)
-            self._open_tags[tag] += 1
+            node.digest.update(f"<{tag}{inner}/>".encode("utf-8", "surrogatepass"))
+            node.digest = node.digest.digest()
         return node
 
     def _pop(self) -> Node:
-        node = self._open.pop()
-        self._open_tags[node.tag] -= 1
+        node = self._open[-1]
         node.inner_end, node.text_end = self._at, self._text_at
-        self._write(f"</{node.tag}>")
+        self._html.append(f"</{node.tag}>")
+        self._at += len(node.tag) + 3
+        self._open.pop()
+        self._open_tags[node.tag] -= 1
+        node.digest = node.digest.digest()
+        if self._open:
+            self._open[-1].digest.update(b"\xff" + node.digest)  # no UTF-8 text has this byte
         node.html_end, node.last_desc_id = self._at, len(self.nodes) - 1
         if node.tag in CELLS:  # formatting does not go on beyond a cell
             self._formatting = [f for f in self._formatting if f.node_id < node.node_id]

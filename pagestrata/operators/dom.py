@@ -37,6 +37,7 @@ NODE_TYPE = T.StructType(
         T.StructField("classes", T.ArrayType(T.StringType())),
     ]
     + [T.StructField(n, T.IntegerType()) for n in _OFFSETS]
+    + [T.StructField("digest", T.BinaryType())]
 )
 # Pages are handed on in pieces of about this many characters, so one output batch stays small.
 _PIECE_CHARS = 4_000_000
@@ -78,6 +79,7 @@ def _node_arrays(pages: list[list], readers: list[Reader]) -> pa.Array:
         _list_array(list(map(len, classes)), pa.array([c for cs in classes for c in cs], pa.string())),
     ]
     columns += [_offsets(pages, readers, name) for name in _OFFSETS]
+    columns += [pa.array([n.digest for n in flat], pa.binary())]
     structs = pa.StructArray.from_arrays(columns, names=NODE_TYPE.fieldNames())
     return _list_array(list(map(len, pages)), structs)
 
@@ -208,10 +210,6 @@ def sql_inner_html(n: str) -> str:
     return f"CAST(substring(canon_html, {n}.inner_start + 1, {n}.inner_end - {n}.inner_start) AS STRING)"
 
 
-def sql_outer_html(n: str) -> str:
-    return f"CAST(substring(canon_html, {n}.html_start + 1, {n}.html_end - {n}.html_start) AS STRING)"
-
-
 def sql_text_bytes(n: str, text: str = "page_text") -> str:
     return f"substring({text}, {n}.text_start + 1, {n}.text_end - {n}.text_start)"
 

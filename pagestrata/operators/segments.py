@@ -15,7 +15,6 @@ from pagestrata.operators.dom import (
     sql_let,
     sql_matches_any,
     sql_ordered_first,
-    sql_outer_html,
     sql_raw_text,
     sql_select,
     sql_text,
@@ -96,11 +95,11 @@ def sql_outside(candidates: str, header: str, footer: str) -> str:
 
 
 def sql_measured(candidates: str) -> str:
-    """Candidates with markup, size and outer hash: ``{node, html, text_bytes, has_image, outer}``."""
+    """Candidates with markup, size and the digest of their markup: ``{node, html, text_bytes, has_image, outer}``."""
     image = f"exists({sql_below('c')}, n -> n.tag = 'img')"
     struct = (
         f"named_struct('node', c, 'html', {sql_inner_html('c')}, 'text_bytes', octet_length({sql_text('c')}), "
-        f"'has_image', {image}, 'outer', sha2({sql_outer_html('c')}, 256))"
+        f"'has_image', {image}, 'outer', c.digest)"
     )
     return f"transform({candidates}, c -> {struct})"
 

@@ -37,3 +37,14 @@ def test_offsets_cut_what_they_say():
         below = [m for m in reader.nodes if n.html_start < m.html_start < n.html_end]
         assert n.last_desc_id == (below[-1].node_id if below else n.node_id)
     assert reader.text == "üabcde"
+
+
+def test_digests_are_equal_where_markup_is():
+    html = "<div><p>a<b>x</b></p><p>a<b>x</b></p><p>ab<b></b></p><p><b>x</b>a</p><!--c--><i><img src=1></i><i><img src=2></i><i><img src=1></i></div><p>a<b>x"
+    reader = Reader().read(html)
+    by_digest, by_markup = {}, {}
+    for n in reader.nodes:
+        by_digest.setdefault(n.digest, []).append(n.node_id)
+        by_markup.setdefault(reader.canon[n.html_start : n.html_end], []).append(n.node_id)
+    assert list(by_digest.values()) == list(by_markup.values()) and all(len(d) == 16 for d in by_digest)
+    assert len(by_markup) < len(reader.nodes)

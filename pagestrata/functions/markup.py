@@ -47,8 +47,12 @@ MOST_FORMATTING = 64
 _ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", "'": "&#39;", '"': "&#34;", "\r": "&#13;"})
 
 
+def _digest(pieces) -> bytes:
+    return blake2b("".join(pieces).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 class Node:
-    """One element and its offsets; ``html_end`` is -1 while the element is open, and ``digest`` is the running hash until it ends."""
+    """One element and its offsets; ``html_end`` is -1 while the element is open, and ``digest`` holds its pieces of markup until it ends."""
 
     __slots__ = (
         "node_id", "parent_id", "last_desc_id", "depth", "tag", "attrs",
@@ -83,7 +87,7 @@ class Reader(HTMLParser):
         self._html.append(piece)
         self._at += len(piece)
         if self._open:
-            self._open[-1].digest.update(piece.encode("utf-8", "surrogatepass"))
+            self._open[-1].digest.append(piece)
 
     def _push(self, tag: str, attrs: dict[str, str] | None = None) -> Node:
         node = Node()
@@ -94,7 +98,7 @@ class Reader(HTMLParser):
         node.text_start = node.text_end = self._text_at
         inner = "".join(f' {k}="{v.translate(_ESCAPES)}"' for k, v in (attrs or {}).items())
         self.nodes.append(node)
-        node.digest = blake2b(digest_size=16)
+        node.digest = []
         if tag not in VOID:
             self._open.append(node)
             self._open_tags[tag] += 1
@@ -102,8 +106,7 @@ class Reader(HTMLParser):
         node.inner_start = node.inner_end = self._at
         if tag in VOID:
             node.html_end = self._at
-            node.digest.update(f"<{tag}{inner}/>".encode("utf-8", "surrogatepass"))
-            node.digest = node.digest.digest()
+            node.digest = _digest((f"<{tag}{inner}/>",))
         return node
 
     def _pop(self) -> Node:
@@ -113,9 +116,9 @@ class Reader(HTMLParser):
         self._at += len(node.tag) + 3
         self._open.pop()
         self._open_tags[node.tag] -= 1
-        node.digest = node.digest.digest()
+        node.digest = _digest(node.digest)
         if self._open:
-            self._open[-1].digest.update(b"\xff" + node.digest)  # no UTF-8 text has this byte
+            self._open[-1].digest.append("\x00" + node.digest.hex())  # read() takes this character out of the page
         node.html_end, node.last_desc_id = self._at, len(self.nodes) - 1
         if node.tag in CELLS:  # formatting does not go on beyond a cell
             self._formatting = [f for f in self._formatting if f.node_id < node.node_id]

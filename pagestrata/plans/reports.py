@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagestrata.functions.json_text import indented_content
 from pagestrata.functions.text import byte_cut, html_safe_json
+from pagestrata.session import stored
 from pagestrata.sources.store import artefact_rows, metadata_json, rfc3339, write_artefacts
 
 SHEET_CELL_BYTES = 32767
@@ -160,8 +161,14 @@ def summary_page(operations: DataFrame, blocks: DataFrame) -> DataFrame:
     """Summary page of headers and footers by platform, as chunks ``(operation_id, section, platform, chunk_no, text)``.
 
     Ordered by those columns they are the page: section 0 is the contents with a count per part and platform, then the headers (1) and
-    the footers (2), each platform's frame (chunk 0) before its blocks.
+    the footers (2), each platform's frame (chunk 0) before its blocks. The blocks are made once, as a stored table.
     """
+    edges = blocks.filter(F.col("block_type").isin("header", "footer")).select("operation_id", "block_id", "block_type", "platform", "block_no", "html", "created_at")
+    return summary_rows(operations, stored(edges, "edges"))
+
+
+def summary_rows(operations: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The rows of ``summary_page`` from blocks that are stored already; they are gone through three times."""
     part = F.when(F.col("block_type") == "header", 1).otherwise(2)
     edges = blocks.filter(F.col("block_type").isin("header", "footer")).withColumn("section", part)
     counts = edges.groupBy("operation_id", "section", "platform").agg(F.first("block_type").alias("part"), F.count("*").alias("n"))
@@ -186,10 +193,11 @@ def summary_page(operations: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def bundle_manifest(operations: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Every block file of an operation and the parts of its summary page, with size and checksum."""
+    """Every block file of an operation and the parts of its summary page, with size and checksum. The blocks are made once, as a stored table."""
+    blocks = stored(blocks, "blocks")
     chunk = F.format_string("summary_%d_%s_%d.html", "section", "platform", "chunk_no")
     path = F.concat(F.lit("blocks/"), F.col("operation_id"), F.lit("/"), chunk)
-    summary = summary_page(operations, blocks).select("operation_id", path.alias("path"), F.col("text").alias("body"))
+    summary = summary_rows(operations, blocks).select("operation_id", path.alias("path"), F.col("text").alias("body"))
     files = artefact_rows(blocks).select("operation_id", "path", "body").unionByName(summary)
     return files.select("operation_id", "path", F.octet_length("body").alias("bytes"), F.sha2("body", 256).alias("sha256"))
 

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pagestrata.plans.parse import operations, page_blocks
-from pagestrata.plans.reports import summary_page
+from pagestrata.plans.reports import bundle_manifest, summary_page
 from pagestrata.sources import files
 from pagestrata.sources.pages import read_page_files
 from pagestrata.sources.store import artefact_rows
@@ -86,3 +86,55 @@ def test_published_files_are_read_by_relative_path(spark, tmp_path):
     rows = spark.createDataFrame([("a/ü.html", 0, "é"), ("b.html", 0, "")], "path string, part int, body string")
     files.write_files(rows, f"{tmp_path}/out")
     assert sorted(map(tuple, files.read_files(spark, f"{tmp_path}/out").collect())) == [("a/ü.html", 2, "é")]
+
+
+def test_a_folder_is_one_tasks_unless_it_has_many_files(spark, monkeypatch):
+    monkeypatch.setattr(files, "MANY_FILES", 50)
+    rows = [(f"d{i}/{j}", 0, "x") for i in range(40) for j in range(6)] + [(f"many/{j}", 0, "x") for j in range(200)] + [(f"{j}", 0, "x") for j in range(200)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = files.dealt(spark.createDataFrame(rows, "path string, part int, body string"))
+        tasks = dealt.select(F.regexp_extract("path", "^(.*)/", 1).alias("d"), F.spark_partition_id().alias("t")).groupBy("d").agg(F.count_distinct("t").alias("n"), F.count("*").alias("rows"))
+        found = {r.d: (r.n, r.rows) for r in tasks.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(found[f"d{i}"] == (1, 6) for i in range(40))
+    assert found["many"] == found[""] == (4, 200)
+
+
+def test_tasks_list_the_files_at_any_depth_and_pass_over_hidden_ones(spark, tmp_path):
+    for path in ("top", "a/1", "a/b/c/d/deep", "a/empty", "_staging-x/1", "a/_hidden", "a/.hidden", "a/k=1/_k=2"):
+        at_ = tmp_path / "out" / path
+        at_.parent.mkdir(parents=True, exist_ok=True)
+        at_.write_text("" if path == "a/empty" else path)
+    read = files.read_files(spark, f"{tmp_path}/out")
+    assert sorted((r.path, r.bytes, r.body) for r in read.collect()) == [(p, len(p), p) for p in ("a/1", "a/b/c/d/deep", "a/k=1/_k=2", "top")]
+    assert read.inputFiles() == []  # the driver has listed nothing
+    with pytest.raises(FileNotFoundError):
+        files.read_files(spark, f"{tmp_path}/none")
+
+
+def counted(blocks):
+    """The blocks, and a counter of how often a row of them was made."""
+    made = blocks.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    return blocks.mapInArrow(count, blocks.schema), made
+
+
+def test_blocks_are_made_once_for_all_files_and_pages_of_a_bundle(spark, tmp_path):
+    pages = site(spark)
+    ops, n = operations(pages, at(), at()), 36
+    blocks, made = counted(page_blocks(pages, at()))
+    files.save_block_files(blocks, f"{tmp_path}/blocks").collect()
+    assert made.value == n
+    files.write_bundles(ops, blocks, f"{tmp_path}/bundles")
+    assert made.value == 2 * n
+    assert bundle_manifest(ops, blocks).count() == 2 * n + 4 * 12 + 13
+    assert made.value == 3 * n
+    assert summary_page(ops, blocks).count() == 4 * 12 + 13
+    assert made.value == 4 * n

@@ -111,9 +111,9 @@ def h12_written(spark, sf):
     files.write_bundles(site_operations(spark, sf), site_blocks(spark, sf), folder)
     found = files.read_files(spark, folder)
     is_summary = F.endswith("path", F.lit("/blocks_summary.html"))
-    summaries = found.where(is_summary).select("path", F.md5("body").alias("checksum"), F.lit(0).cast("long").alias("other_files"))
-    others = found.where(~is_summary).groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path")).agg(F.count("*").alias("other_files"))
-    return summaries.unionByName(others.select("path", F.lit(None).cast("string").alias("checksum"), "other_files"))
+    path = F.when(is_summary, F.col("path")).otherwise(F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    checksum = F.when(is_summary, F.md5("body"))
+    return found.select(path.alias("path"), checksum.alias("checksum"), is_summary.alias("s")).groupBy("path", "checksum").agg(F.count_if(~F.col("s")).alias("other_files"))
 
 
 # -- streams -----------------------------------------------------------------------

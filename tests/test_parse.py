@@ -57,3 +57,22 @@ def test_stream_equals_batch(spark, tmp_path):
     stored, batch = spark.read.parquet(f"{tmp_path}/out"), page_blocks(pages, at())
     assert stored.count() == 60
     assert stored.select(*sorted(stored.columns)).exceptAll(batch.select(*sorted(stored.columns))).count() == 0
+
+
+def test_the_reader_holds_the_nodes_of_a_small_piece_of_a_batch():
+    """A batch of any number of pages is read piece by piece; one page is never cut."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    class Pages:
+        schema = T.StructType([T.StructField("html", T.StringType())])
+
+        def mapInArrow(self, read, schema):
+            return read
+
+    sources = ["<p>" + "x" * 4000] * 500 + [None, "", "<b>" + "y" * 700_000] + ["<p>z"]
+    made = list(with_nodes(Pages())(iter([pa.RecordBatch.from_arrays([pa.array(sources)], names=["html"])])))
+    assert [s for b in made for s in b.column("html").to_pylist()] == sources
+    assert [len(n) for b in made for n in b.column("nodes").to_pylist()] == [1] * 500 + [0, 0, 1, 1]
+    sizes = [[len(s or "") for s in b.column("html").to_pylist()] for b in made]
+    assert len(made) > 4 and all(sum(s) - s[-1] < 500_000 for s in sizes)

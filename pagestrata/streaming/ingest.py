@@ -73,18 +73,27 @@ def _in_ledger(spark: SparkSession, out: str, batch: int) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def _parsed(pages: DataFrame, created_at: Column, templates: Sequence[Template]) -> DataFrame:
+    """Parsed pages, dealt over all cores first, since a batch may have fewer files than there are cores."""
+    dealt = pages.withColumn("__at", created_at).repartition(2 * pages.sparkSession.sparkContext.defaultParallelism)
+    return with_page_blocks(dealt, templates=templates, links=True)
+
+
 def store_batch(pages: DataFrame, batch: int, out: str, created_at: Column, templates: Sequence[Template] | None = None) -> bool:
     """Parse a batch of pages once and store its part of every table; False if the ledger had the batch already."""
-    spark = pages.sparkSession
+    templates = read_templates() if templates is None else templates
+    return _store(_parsed(pages, created_at, templates), batch, out, bool(templates))
+
+
+def _store(read: DataFrame, batch: int, out: str, some_templates: bool) -> bool:
+    spark = read.sparkSession
     if _in_ledger(spark, out, batch):
         return False
-    templates = read_templates() if templates is None else templates
-    read = with_page_blocks(pages.withColumn("__at", created_at), templates=templates, links=True)
     staged = f"{out}/parsed/batch={batch}"
     read.write.mode("overwrite").parquet(staged)
     parsed = spark.read.schema(read.schema).parquet(staged)
     blocks = block_rows(parsed)
-    tables = {"operations": parsed_operations(parsed, bool(templates)), "blocks": blocks, "links": parsed_links(parsed), "artefacts": artefact_rows(blocks)}
+    tables = {"operations": parsed_operations(parsed, some_templates), "blocks": blocks, "links": parsed_links(parsed), "artefacts": artefact_rows(blocks)}
     counts = {}
     for name in TABLES:
         seen = Observation(name)
@@ -97,12 +106,14 @@ def store_batch(pages: DataFrame, batch: int, out: str, created_at: Column, temp
 
 
 def ingest_tables(pages: DataFrame, out: str, checkpoint: str, created_at: Column, templates: Sequence[Template] | None = None) -> StreamingQuery:
-    """Store all tables of arriving pages below ``out``, each batch once."""
+    """Store all tables of arriving pages below ``out``, each batch once. The parse is planned once for all batches."""
+    templates = read_templates() if templates is None else templates
+    parsed = _parsed(pages, created_at, templates)
 
     def store(batch: DataFrame, number: int) -> None:
-        store_batch(batch, number, out, created_at, templates)
+        _store(batch, number, out, bool(templates))
 
-    return pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return parsed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def ledger(spark: SparkSession, out: str) -> DataFrame:

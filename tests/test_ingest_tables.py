@@ -75,3 +75,9 @@ def test_no_templates_is_an_error_of_plain_pages_and_an_empty_batch_counts_nothi
     assert states == {("html5", "error", "no templates"), ("unknown", "completed", None), ("unknown", "error", "no page")}
     I.store_batch(pages_of(spark).limit(0), 1, out, at())
     assert tuple(I.ledger(spark, out).where("batch = 1").select(*I.TABLES).first()) == (0, 0, 0, 0)
+
+
+def test_a_batch_of_one_file_is_parsed_by_many_tasks(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    I.store_batch(pages_of(spark).coalesce(1), 0, out, at())
+    assert spark.read.parquet(f"{out}/parsed/batch=0").select(F.input_file_name()).distinct().count() > 1
